@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neighbours, packing, secrets, simhash, substrings
+from . import licenses, mixing, neighbours, packing, pii, secrets, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +18,9 @@ def _over(table: str, digest: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op2_secret_scan": _over("documents", secrets.digest),
+        "op3_license_scan": _over("documents", licenses.digest),
         "op4_substring_dedup": _over("documents", substrings.digest),
+        "op5_pii": _over("documents", pii.digest),
         "op6_nearest_neighbours": _over("embeddings", neighbours.digest),
         "op7_curriculum_mix": _over("documents", mixing.digest),
         "op8_simhash_dedup": _over("documents", simhash.digest),
