@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, neighbours, packing, pii, secrets, simhash, substrings
+from . import html, licenses, mixing, neighbours, packing, pii, quality, secrets, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def _over(table: str, digest: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_robust_outliers": _over("documents", quality.digest),
         "op2_secret_scan": _over("documents", secrets.digest),
         "op3_license_scan": _over("documents", licenses.digest),
         "op4_substring_dedup": _over("documents", substrings.digest),
@@ -25,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op7_curriculum_mix": _over("documents", mixing.digest),
         "op8_simhash_dedup": _over("documents", simhash.digest),
         "op9_packing": _over("documents", packing.digest),
+        "op10_html_extraction": _over("pages", html.digest),
     }
 
 
