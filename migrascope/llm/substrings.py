@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, freeing, hash_parts, stored, workspace
+from .common import drop, hash_parts, stored, workspace
 
 WINDOW = 13
 #: Windows a map task sorts and packs at a time.
-PACK = 1_500_000
+PACK = 1_000_000
 #: Bytes of text split at a time.
 SPLIT = 2_000_000
 #: Words whose hash a worker remembers.
@@ -46,8 +47,7 @@ KEY_BITS, CHECK_BITS = 40, 32
 #: Odd multipliers of the two rolling hashes and of the final mix.
 ROLL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-ENTRY = "rng int, kind int, ids binary, ths binary, doc binary, pos binary, key binary, chk binary"
-FOUND = "rng int, doc_id bigint, th bigint, pos binary, key binary, chk binary, kind int"
+ENTRY = "rng int, ids binary, ths binary, doc binary, pos binary, key binary, chk binary, kind int"
 WINDOWS, RUN, FLAGS = 0, 1, 2
 
 
@@ -101,6 +101,33 @@ def rolled(hashes: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarr
     return out[0] >> np.uint64(64 - KEY_BITS), out[1] >> np.uint64(64 - CHECK_BITS)
 
 
+def _flag_rows(parts: int, doc: np.ndarray, pos: np.ndarray, id_of: np.ndarray, th_of: np.ndarray) -> list[tuple]:
+    """Repeats as one row per bucket of documents."""
+    if not len(doc):
+        return []
+    bucket = (id_of.view(np.uint64) % np.uint64(parts)).astype(np.int64)[doc]
+    order = np.lexsort((pos, doc, bucket))
+    doc, pos, bucket = doc[order], pos[order], bucket[order]
+    cut = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
+    out = []
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        used, local = _local(doc[a:b], len(id_of))
+        out.append((int(bucket[a]), _signed(id_of[used]), _signed(th_of[used]), pack(local), pack(pos[a:b]), None, None, FLAGS))
+    return out
+
+
+def _signed(a: np.ndarray) -> bytes:
+    return pack(np.ascontiguousarray(a).view(np.uint64))
+
+
+def _local(doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of ``doc``, all below ``n``, and their places in that list."""
+    used = np.flatnonzero(np.bincount(doc, minlength=n))
+    place = np.zeros(n, np.int32)
+    place[used] = np.arange(len(used))
+    return used, place[doc]
+
+
 def _packer(parts: int):
     """Documents in, packed windows by range of key out.
 
@@ -123,45 +150,39 @@ def _packer(parts: int):
             for _, _, t in docs:
                 w = t.split()
                 lens.append(len(w))
-                flat.extend([words_of[x] for x in w])
+                flat.extend(map(words_of.__getitem__, w))
             n = np.array(lens, np.int64)
             key, chk = rolled(np.array(flat, np.uint64))
-            doc = np.repeat(np.arange(len(docs)), n)
-            pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            doc = np.repeat(np.arange(len(docs), dtype=np.int32), n)
+            pos = (np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
             ok = (pos + WINDOW <= np.repeat(n, n))[: len(key)]
-            for c, v in zip(cols, (key[ok], chk[ok], doc[: len(key)][ok] + len(ids), pos[: len(key)][ok]), strict=True):
+            for c, v in zip(cols, (key[ok], chk[ok].astype(np.uint32), doc[: len(key)][ok] + np.int32(len(ids)), pos[: len(key)][ok]), strict=True):
                 c.append(v)
             ids.extend(d for d, _, _ in docs)
             ths.extend(h for _, h, _ in docs)
             return int(ok.sum())
 
         def packed() -> Iterator[pa.RecordBatch]:
-            key, chk, doc, pos = (np.concatenate(c) for c in cols)
+            arrays = [np.concatenate(c) for c in cols]
+            for c in cols:
+                c.clear()
             id_of, th_of = np.array(ids, np.int64), np.array(ths, np.int64)
-            order = np.lexsort((id_of[doc], chk, key))
-            key, chk, doc, pos = key[order], chk[order], doc[order], pos[order]
-            first = _first(key, chk)
-            repeat = id_of[doc] != id_of[doc][first]
-            rows: list[tuple] = []
-            if repeat.any():
-                rd, rp = doc[repeat], pos[repeat]
-                o = np.lexsort((rp, rd))
-                rd, rp = rd[o], rp[o]
-                cut = np.r_[0, np.flatnonzero(rd[1:] != rd[:-1]) + 1, len(rd)]
-                for a, b in zip(cut[:-1], cut[1:], strict=True):
-                    d = rd[a]
-                    rows.append((int(id_of[d] % parts), FLAGS, pack(id_of[d : d + 1].view(np.uint64)), pack(th_of[d : d + 1].view(np.uint64)), None, pack_sorted(rp[a:b]), None, None))
+            order = _order(arrays[0], arrays[1])
+            key, chk, doc, pos = (a[order] for a in arrays)
+            del arrays, order
+            repeat = id_of[doc] != _least(key, chk, id_of[doc])
+            rows = _flag_rows(parts, doc[repeat], pos[repeat], id_of, th_of)
             key, chk, doc, pos = (x[~repeat] for x in (key, chk, doc, pos))
             cut = np.searchsorted(key, np.arange(parts + 1, dtype=np.uint64) * np.uint64(width))
             for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                 if a < b:
-                    used, local = np.unique(doc[a:b], return_inverse=True)
-                    rows.append((r, WINDOWS, pack(id_of[used].view(np.uint64)), pack(th_of[used].view(np.uint64)), pack(local), pack(pos[a:b]), pack_sorted(key[a:b]), pack(chk[a:b])))
-                if len(rows) >= 512:
-                    yield _batch(rows)
+                    used, local = _local(doc[a:b], len(id_of))
+                    rows.append((r, _signed(id_of[used]), _signed(th_of[used]), pack(local), pack(pos[a:b]), pack_sorted(key[a:b]), pack(chk[a:b]), WINDOWS))
+                if len(rows) >= 256:
+                    yield pa.RecordBatch.from_arrays(_columns(rows), names=NAMES)
                     rows = []
             if rows:
-                yield _batch(rows)
+                yield pa.RecordBatch.from_arrays(_columns(rows), names=NAMES)
 
         for b in batches:
             some, size = [], 0
@@ -174,7 +195,7 @@ def _packer(parts: int):
                     some, size = [], 0
                     if held >= PACK or len(ids) > 200_000:
                         yield from packed()
-                        ids, ths, cols, held = [], [], [[], [], [], []], 0
+                        ids, ths, held = [], [], 0
             if some:
                 held += split(some)
         if held:
@@ -183,16 +204,40 @@ def _packer(parts: int):
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = [x.split()[0] for x in ENTRY.split(", ")]
-    types = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+NAMES = [x.split()[0] for x in ENTRY.split(", ")]
+TYPES = [pa.int32(), *[pa.binary()] * 6, pa.int32()]
+
+
+def _columns(rows: list[tuple]) -> list[pa.Array]:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(NAMES)
+    return [pa.array(list(c), t) for c, t in zip(cols, TYPES, strict=True)]
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table(_columns(rows), names=NAMES)
+
+
+def _order(key: np.ndarray, chk: np.ndarray) -> np.ndarray:
+    """Sorts fingerprints: by key and the check's upper bits, and by all of it where these don't tell fingerprints apart."""
+    most = (key << np.uint64(64 - KEY_BITS)) | (chk.astype(np.uint64) >> np.uint64(KEY_BITS + CHECK_BITS - 64))
+    order = np.argsort(most)
+    m, c = most[order], chk[order]
+    if ((m[1:] == m[:-1]) & (c[1:] != c[:-1])).any():
+        order = np.lexsort((chk, key))
+    return order
 
 
-def _first(key: np.ndarray, chk: np.ndarray) -> np.ndarray:
-    """For each of the sorted fingerprints, the index of the first equal one."""
-    new = np.r_[True, (key[1:] != key[:-1]) | (chk[1:] != chk[:-1])] if len(key) else np.zeros(0, bool)
-    return np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)) if len(key) else np.zeros(0, np.int64)
+def _starts(key: np.ndarray, chk: np.ndarray) -> np.ndarray:
+    """Where each of the sorted fingerprints begins."""
+    if not len(key):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (chk[1:] != chk[:-1])])
+
+
+def _least(key: np.ndarray, chk: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The smallest id among equal ones of the sorted fingerprints, for each."""
+    at = _starts(key, chk)
+    return np.repeat(np.minimum.reduceat(ids, at), np.diff(np.r_[at, len(key)])) if len(at) else ids
 
 
 def _held(key: np.ndarray, chk: np.ndarray, run_key: np.ndarray, run_chk: np.ndarray) -> np.ndarray:
@@ -210,53 +255,61 @@ def _held(key: np.ndarray, chk: np.ndarray, run_key: np.ndarray, run_chk: np.nda
     return out
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """One range: the batch against itself and the runs; flags and the batch's new run."""
-    rng = table.column("rng")[0].as_py()
-    rows = table.to_pylist()
-    out: list[tuple] = []
-    for r in (r for r in rows if r["kind"] == FLAGS):
-        out.append((rng, int(unpack(r["ids"]).view(np.int64)[0]), int(unpack(r["ths"]).view(np.int64)[0]), r["pos"], None, None, FLAGS))
-    new = [r for r in rows if r["kind"] == WINDOWS]
-    if new:
-        key, chk, pos = np.concatenate([unpack_sorted(r["key"]) for r in new]), np.concatenate([unpack(r["chk"]) for r in new]), np.concatenate([unpack(r["pos"]) for r in new])
-        ids = [unpack(r["ids"]).view(np.int64) for r in new]
-        ths = [unpack(r["ths"]).view(np.int64) for r in new]
-        start = np.cumsum([0, *map(len, ids)])
-        doc = np.concatenate([unpack(r["doc"]).astype(np.int64) + s for r, s in zip(new, start, strict=False)])
-        id_of, th_of = np.concatenate(ids), np.concatenate(ths)
-        order = np.lexsort((id_of[doc], chk, key))
-        key, chk, pos, doc = key[order], chk[order], pos[order], doc[order]
-        first = _first(key, chk)
-        repeat = id_of[doc] != id_of[doc][first]
-        for r in (r for r in rows if r["kind"] == RUN):
-            repeat |= _held(key, chk, unpack_sorted(r["key"]), unpack(r["chk"]))
-        rd, rp = doc[repeat], pos[repeat]
-        o = np.lexsort((rp, th_of[rd], id_of[rd]))
-        rp, ri, rt = rp[o], id_of[rd][o], th_of[rd][o]
-        cut = np.r_[0, np.flatnonzero((ri[1:] != ri[:-1]) | (rt[1:] != rt[:-1])) + 1, len(ri)] if len(ri) else [0]
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            out.append((rng, int(ri[a]), int(rt[a]), pack_sorted(rp[a:b]), None, None, FLAGS))
-        own = first == np.arange(len(first))
-        out.append((rng, None, None, None, pack_sorted(key[own]), pack(chk[own]), RUN))
-    return _table(out)
+def _merger(parts: int):
+    def merge(table: pa.Table) -> pa.Table:
+        """One range: the batch against itself and the runs; flags by bucket of documents, and the batch's new run."""
+        rng = table.column("rng")[0].as_py()
+        rows = table.to_pylist()
+        out = [tuple(r[c] for c in NAMES) for r in rows if r["kind"] == FLAGS]
+        new = [r for r in rows if r["kind"] == WINDOWS]
+        if new:
+            key = np.concatenate([unpack_sorted(r["key"]) for r in new])
+            chk = np.concatenate([unpack(r["chk"]).astype(np.uint32) for r in new])
+            pos = np.concatenate([unpack(r["pos"]).astype(np.int32) for r in new])
+            ids = [unpack(r["ids"]).view(np.int64) for r in new]
+            start = np.cumsum([0, *map(len, ids)])
+            doc = np.concatenate([(unpack(r["doc"]).astype(np.int64) + s).astype(np.int32) for r, s in zip(new, start, strict=False)])
+            id_of, th_of = np.concatenate(ids), np.concatenate([unpack(r["ths"]).view(np.int64) for r in new])
+            order = _order(key, chk)
+            key, chk, pos, doc = key[order], chk[order], pos[order], doc[order]
+            repeat = id_of[doc] != _least(key, chk, id_of[doc])
+            own = _starts(key, chk)
+            new_key, new_chk = key[own], chk[own]
+            held = np.zeros(len(own), bool)
+            for r in (r for r in rows if r["kind"] == RUN):
+                held |= _held(new_key, new_chk, unpack_sorted(r["key"]), unpack(r["chk"]).astype(np.uint32))
+            repeat |= np.repeat(held, np.diff(np.r_[own, len(key)]))
+            out += _flag_rows(parts, doc[repeat], pos[repeat], id_of, th_of)
+            out.append((rng, None, None, None, None, pack_sorted(new_key[~held]), pack(new_chk[~held]), RUN))
+        return _table(out)
+
+    return merge
 
 
 def _compact(table: pa.Table) -> pa.Table:
-    """One range of several runs as one run."""
+    """One range of several runs as one run; no two runs hold the same fingerprint."""
     key = np.concatenate([unpack_sorted(x.as_py()) for x in table.column("key")])
-    chk = np.concatenate([unpack(x.as_py()) for x in table.column("chk")])
-    order = np.lexsort((chk, key))
-    key, chk = key[order], chk[order]
-    own = _first(key, chk) == np.arange(len(key))
-    return _table([(table.column("rng")[0].as_py(), None, None, None, pack_sorted(key[own]), pack(chk[own]), RUN)])
-
-
-def _table(rows: list[tuple]) -> pa.Table:
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
-    names = [x.split()[0] for x in FOUND.split(", ")]
-    cols = list(zip(*rows, strict=True)) or [[]] * len(names)
-    return pa.table([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
+    chk = np.concatenate([unpack(x.as_py()).astype(np.uint32) for x in table.column("chk")])
+    order = _order(key, chk)
+    return _table([(table.column("rng")[0].as_py(), None, None, None, None, pack_sorted(key[order]), pack(chk[order]), RUN)])
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """One bucket of documents: (doc_id, th, pos) with all repeats of each document."""
+    ids, ths, doc, pos, n = [], [], [], [], 0
+    for r in table.to_pylist():
+        i = unpack(r["ids"]).view(np.int64)
+        ids.append(i)
+        ths.append(unpack(r["ths"]).view(np.int64))
+        doc.append(unpack(r["doc"]).astype(np.int64) + n)
+        pos.append(unpack(r["pos"]))
+        n += len(i)
+    id_of, th_of, doc, pos = (np.concatenate(x) for x in (ids, ths, doc, pos))
+    order = np.lexsort((pos, th_of[doc], id_of[doc]))
+    i, h, pos = id_of[doc][order], th_of[doc][order], pos[order]
+    cut = np.r_[0, np.flatnonzero((i[1:] != i[:-1]) | (h[1:] != h[:-1])) + 1, len(i)]
+    rows = [(int(i[a]), int(h[a]), pack_sorted(pos[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["f_id", "f_th", "flags"])
 
 
 @dataclass
@@ -265,48 +318,54 @@ class Index:
 
     spark: SparkSession
     parts: int
-    max_runs: int = 3
+    max_runs: int = 2
     runs: list[str] = field(default_factory=list)
+    flags: list[str] = field(default_factory=list)
     upto: int | None = None
 
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema(FOUND).parquet(path)
+    def _read(self, path: str, kind: int) -> DataFrame:
+        return self.spark.read.schema(ENTRY).parquet(path).where(F.col("kind") == kind)
+
+    def _all(self, paths: list[str], kind: int) -> DataFrame | None:
+        return reduce(DataFrame.unionByName, [self._read(p, kind) for p in paths]) if paths else None
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Take in the next batch (doc_id, th, text); its flags: (doc_id, th, pos) with packed window starts.
+    def add(self, docs: DataFrame) -> None:
+        """Take in the next batch (doc_id, th, text).
 
         Every doc_id must be larger than all those before.
         """
         ends = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
         if ends[0] is None:
-            return self.spark.createDataFrame([], "doc_id bigint, th bigint, pos binary")
+            return
         if self.upto is not None and ends[0] <= self.upto:
             raise ValueError(f"batches must come in ascending doc_id: {ends[0]} after {self.upto}")
+        if len(self.runs) >= self.max_runs:
+            self.compact()
         rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint"), "th", F.col("text").cast("binary")).mapInArrow(_packer(self.parts), ENTRY)
-        for path in self.runs:
-            empty = F.lit(None).cast("binary")
-            rows = rows.unionByName(self._read(path).where(F.col("kind") == RUN).select("rng", "kind", empty.alias("ids"), empty.alias("ths"), empty.alias("doc"), empty.alias("pos"), "key", "chk"))
+        if self.runs:
+            rows = rows.unionByName(self._all(self.runs, RUN))
         path = workspace(self.spark)
-        found = stored(rows.groupBy("rng").applyInArrow(_merge, FOUND), path, "kind")
-        self.runs.append(path)
+        found = stored(rows.groupBy("rng").applyInArrow(_merger(self.parts), ENTRY), path, "kind")
+        if not found.isEmpty():  # a batch without any window leaves nothing
+            self.runs.append(path)
+            self.flags.append(path)
         self.upto = ends[1]
-        flags = found.where(F.col("kind") == FLAGS).select("doc_id", "th", "pos")
-        flags = stored(flags)
-        if len(self.runs) > self.max_runs:
-            self.compact()
-        return flags
 
     def compact(self) -> None:
-        """Merge all runs to one and remove them."""
-        rows = self._read(self.runs[0]).where(F.col("kind") == RUN)
-        for path in self.runs[1:]:
-            rows = rows.unionByName(self._read(path).where(F.col("kind") == RUN))
+        """Merge all runs to one and remove them; their flags stay."""
         path = workspace(self.spark)
-        stored(rows.groupBy("rng").applyInArrow(_compact, FOUND), path, "kind")
+        stored(self._all(self.runs, RUN).groupBy("rng").applyInArrow(_compact, ENTRY), path, "kind")
         for old in self.runs:
-            drop(self.spark, old)
+            drop(self.spark, f"{old}/kind={RUN}")
         self.runs = [path]
 
+    def repeats(self) -> DataFrame:
+        """(f_id, f_th, flags): the packed starts of the repeated windows of each document so far."""
+        found = self._all(self.flags, FLAGS)
+        if found is None:
+            return self.spark.createDataFrame([], "f_id bigint, f_th bigint, flags binary")
+        return found.groupBy("rng").applyInArrow(_gather, "f_id bigint, f_th bigint, flags binary")
+
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, flags) to words kept and lost."""
@@ -315,11 +374,9 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, flags in zip(b.column(1), b.column(2), strict=True):
             words = (t.as_py() or b"").split()
             lost = 0
-            if flags.is_valid and len(flags):
-                starts = np.concatenate([unpack_sorted(x.as_py()) for x in flags.values]).astype(np.int64)
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + WINDOW, -1)
+            if flags.is_valid:
+                starts = unpack_sorted(flags.as_py()).astype(np.int64)
+                edge = np.bincount(starts, minlength=len(words) + 1) - np.bincount(starts + WINDOW, minlength=len(words) + 1)
                 keep = np.cumsum(edge[:-1]) == 0
                 lost = len(words) - int(keep.sum())
                 words = [words[i] for i in np.flatnonzero(keep)]
@@ -335,32 +392,31 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:3], sha], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _joined(docs: DataFrame, batches: int) -> DataFrame:
+def _joined(docs: DataFrame, batches: int, max_runs: int) -> DataFrame:
     """(doc_id, text, flags) per row of ``docs``."""
     spark = docs.sparkSession
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10000)).first()[0] if batches > 1 else []
     cuts = sorted(set(cuts or []))
-    index, flags = Index(spark, hash_parts(spark)), None
+    index = Index(spark, hash_parts(spark), max_runs)
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = keyed.where(F.col("doc_id").isNotNull())
         part = part.where(F.col("doc_id") > low) if low is not None else part
         part = part.where(F.col("doc_id") <= high) if high is not None else part
-        got = index.add(part)
-        flags = got if flags is None else flags.unionByName(got)
-    for path in index.runs:
+        index.add(part)
+    by_doc = stored(index.repeats())
+    for path in {*index.runs, *index.flags}:
         drop(spark, path)
-    by_doc = stored(flags.groupBy(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th")).agg(F.collect_list("pos").alias("flags")))
     joined = keyed.join(by_doc.hint("shuffle_hash"), (F.col("doc_id") == F.col("f_id")) & (F.col("th") == F.col("f_th")), "left")
     return joined.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary"), "flags")
 
 
-def dedup(docs: DataFrame, batches: int = 4) -> DataFrame:
+def dedup(docs: DataFrame, batches: int = 3, max_runs: int = 1) -> DataFrame:
     """(doc_id, n_words, n_removed, text): ``text`` is the kept words, joined by one space."""
-    rows = _joined(docs, batches).mapInArrow(_finish, "doc_id bigint, n_words bigint, n_removed bigint, kept binary")
+    rows = _joined(docs, batches, max_runs).mapInArrow(_finish, "doc_id bigint, n_words bigint, n_removed bigint, kept binary")
     return rows.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("text"))
 
 
-def digest(docs: DataFrame, batches: int = 4) -> DataFrame:
+def digest(docs: DataFrame, batches: int = 3, max_runs: int = 1) -> DataFrame:
     """The contract's columns for every row."""
-    return _joined(docs, batches).mapInArrow(_digested, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return _joined(docs, batches, max_runs).mapInArrow(_digested, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
