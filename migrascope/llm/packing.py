@@ -24,10 +24,12 @@ empty table gives no pieces; extra columns play no part.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import deque
 from collections.abc import Iterator
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ SENTENCE_CUT, WORD_CUT = 8.0, 64.0
 #: Tokens of a block.
 BLOCK = 1_500_000
 #: Distinct words whose ids a worker keeps.
-REMEMBER = 600_000
+REMEMBER = 800_000
 #: Bytes of text tokenized at a time.
 SPLIT = 1_000_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -60,6 +62,29 @@ def _words(text: str) -> list[str]:
     return WORD.findall(text) if any(c in text for c in CONTROLS) else text.split()
 
 
+class _Numbers(dict):
+    """Numbers words as they are first looked up, and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
+def _encoder(path: str) -> Encoder:
+    """The Python worker's encoder: it outlives a task, so later tasks know the words of earlier ones."""
+    held = sys.modules.setdefault("_packing_encoders", ModuleType("_packing_encoders"))
+    if not hasattr(held, "by_path"):
+        held.by_path = {}
+    if path not in held.by_path:
+        held.by_path[path] = Encoder(path)
+    return held.by_path[path]
+
+
 class Encoder:
     """Token ids of whole texts, by the tokenizer's own ids of each distinct part.
 
@@ -79,8 +104,9 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.word: dict[str, int] = {}  # word -> part << 32 | part of its marks
+        self.word = _Numbers()
         self.part: dict[str, int] = {"": 0}
+        self.of_word = np.zeros((0, 2), np.int32)  # parts of each word: itself and its marks
         self.start, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.stop = np.zeros(1, bool)  # the part ends a sentence
         self.flat = np.zeros(0, np.uint32)
@@ -117,12 +143,14 @@ class Encoder:
                 fresh.append(p)
             return n
 
+        pairs = []
         for w in words:
             core = w.rstrip(MARKS)
             if core.isalpha():
-                self.word[w] = number(core.lower() if core.isascii() else core) << 32 | number(w[len(core) :])
+                pairs.append((number(core.lower() if core.isascii() else core), number(w[len(core) :])))
             else:
-                self.word[w] = number(w) << 32
+                pairs.append((number(w), 0))
+        self.of_word = np.concatenate([self.of_word, np.array(pairs, np.int32)])
         if fresh:
             self._store(fresh)
 
@@ -132,16 +160,16 @@ class Encoder:
         if len(self.word) > REMEMBER:
             self._reset()
         flat_words = list(chain.from_iterable(split))
-        new = set(flat_words).difference(self.word)
-        if new:
-            self._learn(sorted(new))
+        code = np.fromiter(map(self.word.__getitem__, flat_words), np.int64, len(flat_words))
+        if self.word.fresh:
+            self._learn(self.word.fresh)
+            self.word.fresh = []
         n = np.array([len(s) for s in split], np.int64)
         ends = np.zeros(0, np.int64)
         stop = np.zeros(0, bool)
         ids = np.zeros(0, np.uint32)
         if flat_words:
-            code = np.array([*map(self.word.__getitem__, flat_words)], np.int64)
-            at = np.stack([code >> 32, code & 0xFFFFFFFF], axis=1).ravel()
+            at = self.of_word[code].ravel()
             start, size = self.start[at], self.size[at]
             ends = np.cumsum(size)
             ids = self.flat[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]))]
@@ -219,7 +247,7 @@ def _packer(path: str, length: int, block: int):
     names = [x.split()[0] for x in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         task = TaskContext.get()
         sequence = (task.partitionId() if task else 0) << 36
         ids: list = []
