@@ -8,7 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from migrascope.llm import common, mixing, secrets, simhash
+from migrascope.llm import common, mixing, packing, quality, secrets, simhash
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or lie far outside their language and source go."""
+    return quality.filtered(common.clean_documents(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +31,17 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(common.clean_documents(docs))
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 4096 tokens, in the order of the mix."""
+    return packing.digest(common.clean_documents(docs))
+
+
 STAGES = [
+    ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
     ("secret_scan", secret_scan),
     ("mixture", mixture),
+    ("packing", packed),
 ]
 
 ORACLE_SQL = None
