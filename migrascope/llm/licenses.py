@@ -5,7 +5,8 @@ templates; equal hashes count only if the grams' words are equal.  A hit at
 document word d and template word t votes for the diagonal d - t.  Votes are
 gathered per (document, template, diagonal); neighbouring diagonals, which
 differ by words put in or left out, are merged; a merged span is verified by
-the share of the template's grams it covers.
+the share of the template's grams it covers, its last one, which tells
+versions apart, among them.
 
 The templates are a fixed list, so the side that is broadcast has a fixed
 size.  Hits alone are shuffled, and one row per document.
@@ -99,16 +100,17 @@ def spans(docs: DataFrame) -> DataFrame:
     v = v.withColumn("new", F.coalesce((F.col("diag") - F.lag("diag").over(by) > NEAR) | F.col("base"), F.lit(True)))
     v = v.withColumn("span", F.sum(F.col("new").cast("int")).over(by))
     merged = v.groupBy("doc_id", "th", "n_words", "tmpl", "base", "label", "grams", "span").agg(
-        F.min("diag").alias("start"), F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("got"), F.max("copies").alias("copies")
+        F.min("diag").alias("start"), F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"), F.max("copies").alias("copies")
     )
-    return merged.withColumn("cover", F.col("got") / F.col("grams"))
+    last = F.array_contains("covered", F.col("grams") - 1)
+    return merged.withColumn("got", F.size("covered")).withColumn("cover", F.col("got") / F.col("grams")).withColumn("ended", F.coalesce(last, F.lit(False)))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns for every row."""
     s = spans(docs)
     place = F.col("base") & (F.col("got") == F.col("grams"))
-    label = F.when(place | (~F.col("base") & (F.col("cover") >= COVER)), F.col("label"))
+    label = F.when(place | (~F.col("base") & (F.col("cover") >= COVER) & F.col("ended")), F.col("label"))
     found = s.groupBy("doc_id", "th").agg(
         F.max("n_words").alias("n_words"),
         F.count(F.when(place, 1)).alias("n_base"),
