@@ -62,36 +62,46 @@ def _slice(seed: int) -> Column:
 
 
 def plan(sized: DataFrame, seed: int = 7) -> DataFrame:
-    """(doc_id, source, th, size, source_size, target, slope, copies, start) per row of ``sized``.
-
-    A source's queue is its rows by a hash.  Everyone is taken
-    floor(target/size) times; the rest of the target takes rows from the
-    queue's head whose midpoint lies inside it, so the taken words end within
-    half a document of the target.
+    """(doc_id, source, th, size, source_size, target, slope, copies, place) per row of ``sized``.
+
+    Every row is taken floor(target/size) times.  The rest of the target takes
+    rows once more: large ones (over half the source's mean) by their share of
+    it, from the head of a queue by hash as long as a row's midpoint lies
+    inside; then small ones, from the head of theirs, for what is left.  So the
+    taken words end within half a small row of the target.  ``place`` is the
+    row's midpoint in its source's queue, in words.
     """
     spark = sized.sparkSession
-    h = _slice(seed)
-    q = sized.withColumn("h", h).withColumn("part", F.shiftrightunsigned("h", 54).cast("int"))
-    parts = stored(q.groupBy("source", "part").agg(F.sum("size").alias("part_size"), F.count(F.lit(1)).alias("n")))
-    by_source = parts.groupBy("source").agg(F.sum("part_size").cast("bigint").alias("source_size"), F.sum("n").alias("n"))
-    known = targets(by_source)
-    ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    led = parts.withColumn("ahead", F.coalesce(F.sum("part_size").over(ahead), F.lit(0)))
-    facts = led.alias("a").join(known.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select(
-        F.col("a.source"), "part", "ahead", "source_size", "target", "slope"
+    sized = stored(sized)
+    by_source = stored(sized.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size"), F.count(F.lit(1)).alias("n")))
+    known = stored(targets(by_source))
+    n_sources = known.count()
+    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    means = small(known.select("source", (F.col("source_size") / F.col("n") / 2).alias("edge")), n_sources)
+    q = sized.alias("a").join(means.alias("b"), same("a", "b")).select("a.*", (F.col("size") > F.col("edge")).alias("large"))
+    q = q.withColumn("h", _slice(seed)).withColumn("part", F.shiftrightunsigned("h", 54).cast("int"))
+    parts = stored(q.groupBy("source", "large", "part").agg(F.sum("size").alias("part_size")))
+    queue = Window.partitionBy("source", "large")
+    ahead = F.coalesce(F.sum("part_size").over(queue.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    led = parts.withColumn("ahead", ahead).withColumn("queue_size", F.sum("part_size").over(queue))
+    facts = stored(led.alias("a").join(small(known, n_sources).alias("b"), same("a", "b")).select("a.source", "large", "part", "ahead", "queue_size", "source_size", "target", "slope"))
+    inside = Window.partitionBy("source", "large", "part").orderBy("h", "doc_id", "th").rowsBetween(Window.unboundedPreceding, -1)
+    local = q.repartition(hash_parts(spark), "source", "large", "part").withColumn("in_part", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    on = same("q", "f") & (F.col("q.large") == F.col("f.large")) & (F.col("q.part") == F.col("f.part"))
+    middle = F.col("ahead") + F.col("in_part") + F.col("size") / 2.0
+    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST_PASSES))).otherwise(F.lit(0))
+    d = local.alias("q").join(small(facts, facts.count()).alias("f"), on).select(
+        "doc_id", "q.source", "th", "q.large", "size", "source_size", "target", "slope", "queue_size", middle.alias("middle"), whole.cast("int").alias("whole")
     )
-    facts = stored(facts)
-    n = facts.count()
-    inside = Window.partitionBy("source", "part").orderBy("h", "doc_id", "th").rowsBetween(Window.unboundedPreceding, -1)
-    local = q.repartition(hash_parts(spark), "source", "part").withColumn("in_part", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    d = local.alias("q").join(
-        small(facts, n).alias("f"), F.col("q.source").eqNullSafe(F.col("f.source")) & (F.col("q.part") == F.col("f.part"))
-    ).select("doc_id", "q.source", "th", "h", "size", "source_size", "target", "slope", (F.col("ahead") + F.col("in_part")).alias("start"))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    rest = F.col("target") - whole * F.col("source_size")
-    once = (F.col("start") + F.col("size") / 2.0 < rest) & (F.col("size") > 0)
-    copies = F.when(F.col("size") > 0, whole + F.when(once, 1).otherwise(0)).otherwise(F.lit(0))
-    return d.withColumn("copies", F.least(copies, F.lit(MOST_PASSES)).cast("int")).drop("h")
+    d = d.withColumn("rest", F.when(F.col("whole") < MOST_PASSES, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(F.lit(0.0)))
+    d = d.withColumn("once", F.col("large") & (F.col("middle") < F.col("rest") * F.col("queue_size") / F.col("source_size")))
+    d = stored(d)
+    got = stored(d.where("once").groupBy("source").agg(F.sum("size").alias("got")))
+    d = d.alias("q").join(small(got, n_sources).alias("g"), same("q", "g"), "left").select("q.*", F.coalesce("got", F.lit(0)).alias("got"))
+    once = F.col("once") | (~F.col("large") & (F.col("middle") < F.col("rest") - F.col("got")))
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.when(once, 1).otherwise(0)).otherwise(F.lit(0))
+    place = F.when(F.col("queue_size") > 0, F.col("middle") * F.col("source_size") / F.col("queue_size")).otherwise(F.lit(0.0))
+    return d.select("doc_id", "source", "th", "size", "source_size", "target", "slope", copies.cast("int").alias("copies"), place.alias("place"))
 
 
 def position(demand: Column, slope: Column) -> Column:
@@ -108,8 +118,8 @@ def position(demand: Column, slope: Column) -> Column:
 def positions(planned: DataFrame) -> DataFrame:
     """One row per taken copy, with its training ``position``."""
     d = planned.where(F.col("copies") > 0).withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    middle = F.col("pass") * F.col("source_size") + F.col("start") + F.col("size") / 2.0
-    return d.withColumn("position", position(middle / F.col("target"), F.col("slope")))
+    asked = F.col("pass") * F.col("source_size") + F.col("place")
+    return d.withColumn("position", position(asked / F.col("target"), F.col("slope")))
 
 
 def digest(docs: DataFrame) -> DataFrame:
