@@ -26,7 +26,6 @@ from __future__ import annotations
 import re
 import sys
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from itertools import chain
 from types import ModuleType
@@ -59,6 +58,9 @@ WORD = re.compile(r"[^ \t-\r]+")
 
 
 def _words(text: str) -> list[str]:
+    """Blank-separated words, in lower case where that is the tokenizer's own."""
+    if "\u03a3" not in text:  # a last sigma depends on its neighbours in Python alone
+        text = text.lower()
     return WORD.findall(text) if any(c in text for c in CONTROLS) else text.split()
 
 
@@ -135,22 +137,28 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         part, fresh = self.part, []
-
-        def number(p: str) -> int:
-            n = part.get(p)
-            if n is None:
-                n = part[p] = len(part)
-                fresh.append(p)
-            return n
-
-        pairs = []
+        known = part.get
+        pairs: list[int] = []
         for w in words:
-            core = w.rstrip(MARKS)
-            if core.isalpha():
-                pairs.append((number(core.lower() if core.isascii() else core), number(w[len(core) :])))
+            if w.isalpha():
+                core, marks = w, 0
             else:
-                pairs.append((number(w), 0))
-        self.of_word = np.concatenate([self.of_word, np.array(pairs, np.int32)])
+                core = w.rstrip(MARKS)
+                if core.isalpha():
+                    tail = w[len(core) :]
+                    marks = known(tail)
+                    if marks is None:
+                        marks = part[tail] = len(part)
+                        fresh.append(tail)
+                else:
+                    core, marks = w, 0
+            n = known(core)
+            if n is None:
+                n = part[core] = len(part)
+                fresh.append(core)
+            pairs.append(n)
+            pairs.append(marks)
+        self.of_word = np.concatenate([self.of_word, np.array(pairs, np.int32).reshape(-1, 2)])
         if fresh:
             self._store(fresh)
 
@@ -203,23 +211,24 @@ def cuts(sizes: list[int], breaks: list[np.ndarray], length: int = LENGTH) -> np
         costs += [cost, np.zeros(1)]
         at += size
     p = np.concatenate(places)
-    place, cost = p.tolist(), np.concatenate(costs).tolist()
+    place, cost = p.tolist(), (np.concatenate(costs) + length).tolist()
     n = len(place)
-    best, back = [0.0] * n, [0] * n
-    queue: deque[int] = deque()
-    key = [0.0] * n  # f(i) + P(i)
+    back = [0] * n
+    # The queue's cuts and their keys f(i) + P(i), keys ascending; those before ``head`` are out of the window.
+    queue, keys, head = [0], [0.0], 0
     for j in range(1, n):
-        i, pj = j - 1, place[j]
-        k = key[i]
-        while queue and key[queue[-1]] >= k:
-            queue.pop()
-        queue.append(i)
-        while pj - place[queue[0]] > length:
-            queue.popleft()
-        i = queue[0]
+        pj = place[j]
+        low = pj - length
+        while place[queue[head]] < low:
+            head += 1
+        i = queue[head]
         back[j] = i
-        best[j] = cost[j] + length - pj + key[i]
-        key[j] = best[j] + pj
+        key = cost[j] + keys[head]  # f(j) + P(j)
+        while len(keys) > head and keys[-1] >= key:
+            keys.pop()
+            queue.pop()
+        queue.append(j)
+        keys.append(key)
     chosen = [n - 1]
     while chosen[-1]:
         chosen.append(back[chosen[-1]])
