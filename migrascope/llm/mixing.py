@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, hash_parts, small, stored
+from .common import WORD, clean_documents, hash_parts, small, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_PASSES = 3
@@ -128,10 +128,18 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """Documents of the mix in training order, as often as each is taken."""
+    """Documents of the mix in training order, as often as each is taken.
+
+    Rows that share doc_id, source and text have a place each in the plan, and
+    come back as often as all of them are taken.
+    """
     spark = docs.sparkSession
-    planned = stored(positions(plan(sizes(docs))).select("doc_id", "source", "th", "pass", "position").distinct())
+    docs = clean_documents(docs)
+    sized = stored(sizes(docs))
+    planned = stored(positions(plan(sized)).select("doc_id", "source", "th", "pass", "position"))
     keyed = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    if not stored(sized.groupBy("doc_id", "source", "th").count().where("count > 1")).isEmpty():
+        keyed = keyed.dropDuplicates(["doc_id", "source", "__th"])
     p = planned.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("th").alias("__p_th"), "pass", "position")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__p_th")) & F.col("source").eqNullSafe(F.col("__source"))
     out = keyed.join(p, same).repartitionByRange(hash_parts(spark), "position", "doc_id").sortWithinPartitions("position", "doc_id", "pass")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
+from .common import clean_documents
 
 # Fixed formats of the base kinds.
 ASSIGN = (
@@ -112,8 +113,8 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret replaced by ``mark`` and ``n_chars`` counted anew; clean rows stay as they are."""
-    d = scan(docs)
+    """Documents with every secret replaced by ``mark`` and ``n_chars`` counted anew; clean rows stay as they are."""
+    d = scan(clean_documents(docs))
     hit = F.size("spans") > 0
     return (
         d.withColumn("masked", F.when(hit, S.masked(F.col("text"), F.col("spans"), mark)).otherwise(F.col("text")))

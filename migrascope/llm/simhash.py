@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, hash_parts, stored, workspace
+from .common import clean_documents, drop, hash_parts, stored, workspace
 
 SEED = 42
 RADIUS = 3
@@ -198,14 +198,14 @@ def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Rows that repeat that doc_id are one document: of them the smallest text
     hash stays.  Rows without doc_id all stay.
     """
+    docs = clean_documents(docs)
     prints = stored(fingerprints(docs))
-    g = stored(groups(prints, radius))
-    keep = g.select(F.col("component_id").alias("__keep")).distinct()
+    keep = groups(prints, radius).select(F.col("component_id").alias("__keep")).distinct()
     named = docs.where(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id") == F.col("__keep"), "left_semi")
-    again = stored(prints.groupBy("doc_id").count().where((F.col("count") > 1) & F.col("doc_id").isNotNull()).select("doc_id"))
+    again = prints.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
+    again = stored(again)
     if not again.isEmpty():
-        from pyspark.sql import Window
-
-        w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "lang", "source"))
-        named = named.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+        first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "lang", "source"))
+        twice = named.join(again, F.col("doc_id") == F.col("__again"), "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+        named = named.join(again, F.col("doc_id") == F.col("__again"), "left_anti").unionByName(twice)
     return named.unionByName(docs.where(F.col("doc_id").isNull()))

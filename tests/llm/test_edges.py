@@ -1,0 +1,80 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables, clashing extra columns: every operator."""
+
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from migrascope.llm import html, licenses, mixing, neighbours, packing, pii, quality, secrets, simhash, substrings
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+EXTRA = "h int, th string, size string, kept string, base string, spans string, fp int, x string, copies string, flags string, large string, part string"
+LONG = ("lorem ipsum dolor sit amet " * 400 + "\n") * 40
+TEXTS = [None, "", " \n\t ", "one", "one two", "a b c d e f g h i j k l m n o p", "a b c d e f g h i j k l m n o p", LONG, "x" * 20000, "é ü ß 🙂 " * 50, "under the MIT License password=abcdef123 a@b.cc +1 234 567 890 1.2.3.4"]
+
+BY_DOCS = {
+    "op1": quality.digest, "op2": secrets.digest, "op3": licenses.digest, "op4": substrings.digest, "op5": pii.digest, "op7": mixing.digest,
+    "op8": simhash.digest, "op9": packing.digest, "redact": secrets.redact, "mix": mixing.mix, "dedup": simhash.dedup, "filtered": quality.filtered,
+    "cut": substrings.dedup,
+}
+PER_ROW = ("op1", "op2", "op3", "op4", "op5", "op7", "op8", "redact", "cut")
+
+
+def table(spark):
+    rows = [(i, t, "en" if i % 3 else None, "s" if i % 2 else None, len(t or "")) for i, t in enumerate(TEXTS)]
+    rows += [rows[7], rows[10], rows[5], (None, "no id here at all", None, None, None), (None, None, None, None, None), (5, "another text under a number that is taken", "en", "s", 1)]
+    base = spark.createDataFrame(rows, DOCS)
+    from pyspark.sql import functions as F
+
+    return base.select("*", *[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in EXTRA.split(", ")]), len(rows)
+
+
+@pytest.mark.parametrize("name", BY_DOCS)
+def test_odd_rows(spark, name):
+    d, n = table(spark)
+    got = BY_DOCS[name](d).collect()
+    if name in PER_ROW:
+        assert len(got) == n
+    if name in ("redact", "mix", "dedup", "filtered"):
+        assert got[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars"} if got else True
+
+
+@pytest.mark.parametrize("name", BY_DOCS)
+def test_empty_table(spark, name):
+    assert BY_DOCS[name](spark.createDataFrame([], DOCS)).collect() == []
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op7", "op8"])
+def test_repeated_rows_agree(spark, name):
+    d, _ = table(spark)
+    got = [r for r in BY_DOCS[name](d).collect() if r.doc_id == 7]
+    assert len(got) == 2
+    if name != "op7":  # there each copy has its own place in the queue
+        assert len(set(map(str, got))) == 1
+
+
+def test_pages_and_vectors(spark):
+    pages = [(1, "u", None), (2, None, ""), (3, "u", "<p"), (4, "u", "plain"), (4, "u", "plain"), (None, "u", "<div>" * 3000 + "deep"), (5, "u", "<p>&amp;&nbsp;&#65;\n\n b</p><script>x")]
+    got = {(r.page_id, r.text, r.n_chars) for r in html.digest(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert (1, "", 0) in got and (2, "", 0) in got and len(html.digest(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()) == 7
+    assert html.digest(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
+    v = [(0, [1.0, 0.0]), (100, None), (200, [0.0, 0.0]), (300, [float("nan"), 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, None]), (4, [1.0]), (None, [1.0, 1.0]), (5, [2.0, 0.0]), (5, [2.0, 0.0]), (6, [float("inf"), 0.0])]
+    f = spark.createDataFrame(v, "vec_id bigint, embedding array<float>")
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.digest(f).orderBy("query_id", "rank").collect()] == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 5, 1.0), (0, 4, 5, 1.0)]
+    assert neighbours.digest(f.where("false")).collect() == []
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    d, _ = table(spark)
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert "sequence_id" in got.columns
+    got.collect()
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "secret_scan", "mixture", "packing"]
+    empty = spark.createDataFrame([], DOCS)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty, "").columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_names():
+    names = entry.queries()
+    assert "pipeline" in names and [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
