@@ -13,7 +13,7 @@ of that shard; the best of all shards follow from a ranking per query.
 Defined cases: vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part; ties go to the smaller
 vec_id; rows without vec_id take no part; repeated rows are candidates each,
-except those with the query's own vec_id; an empty table gives none.
+except those with the query's own vec_id, and ask once, the smallest vector; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -42,10 +42,14 @@ def _takes_part(vec_id: Column, v: Column) -> Column:
     return vec_id.isNotNull() & v.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def distances(x: np.ndarray, point: np.ndarray) -> np.ndarray:
-    """Euclidean distances of the rows of ``x`` from ``point``, straight from the differences."""
-    d = x - point
-    return np.sqrt(np.einsum("ij,ij->i", d, d))
+def distances(columns: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Euclidean distances (point, row): rows given by component, squares added in the components' order."""
+    total = np.zeros((len(points), columns.shape[1]))
+    for c, p in zip(columns, points.T, strict=True):
+        d = p[:, None] - c[None, :]
+        d *= d
+        total += d
+    return np.sqrt(total)
 
 
 class Tree:
@@ -53,14 +57,14 @@ class Tree:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, leaf: int = LEAF):
         o = np.argsort(ids, kind="stable")
-        self.ids, self.x, self.leaf = ids[o], x[o], leaf
+        self.ids, self.x, self.leaf = ids[o], np.ascontiguousarray(x[o].T), leaf
         self.root = self._node(np.arange(len(ids)))
 
     def _node(self, rows: np.ndarray):
         if len(rows) <= self.leaf:
             return rows
         vantage = rows[np.random.default_rng(len(rows)).integers(len(rows))]
-        d = distances(self.x[rows], self.x[vantage])
+        d = distances(self.x[:, rows], self.x[:, [vantage]].T)[0]
         mu = np.median(d)
         inner = d <= mu
         if inner.all():  # half of the points or more are alike: the rest, if any, goes outside
@@ -77,11 +81,10 @@ class Tree:
         slack = 1 + 1e-12
 
         def offer(rows: np.ndarray, who: np.ndarray) -> None:
-            block = max(1, 4_000_000 // (len(rows) * q.shape[1]))
+            block, x = max(1, 2_000_000 // len(rows)), self.x[:, rows]
             for a in range(0, len(who), block):
                 w = who[a : a + block]
-                diff = q[w][:, None, :] - self.x[rows][None, :, :]
-                d = np.sqrt(np.einsum("qij,qij->qi", diff, diff))
+                d = distances(x, q[w])
                 ids = np.broadcast_to(self.ids[rows], d.shape)
                 d = np.where(ids == query_ids[w][:, None], np.inf, d)
                 all_d, all_i = np.concatenate([best_d[w], d], 1), np.concatenate([best_i[w], ids], 1)
@@ -92,12 +95,11 @@ class Tree:
             if not len(who):
                 return
             if isinstance(node, np.ndarray):
-                step = max(1, 200_000 // q.shape[1])
-                for a in range(0, len(node), step):
-                    offer(node[a : a + step], who)
+                for a in range(0, len(node), 20_000):
+                    offer(node[a : a + 20_000], who)
                 return
             vantage, mu, far, inside, outside = node
-            d = distances(q[who], self.x[vantage])
+            d = distances(self.x[:, [vantage]], q[who])[:, 0]
             near = d - mu <= far - d  # nearer to the inner shell
             may_in = lambda s: (d[s] - mu) * factor <= best_d[who[s], -1] * slack
             may_out = lambda s: (far - d[s]) * factor <= best_d[who[s], -1] * slack
@@ -128,11 +130,11 @@ def _searcher(k: int, factor: float):
 def nearest(vectors: DataFrame, queries: Column, k: int = 10, factor: float = 1.0) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of ``vectors`` that the condition ``queries`` selects."""
     v = stored(usable(vectors))
-    n, asked, width = v.agg(F.count(F.lit(1)), F.count(F.when(queries, 1)), F.mode(F.size("v"))).first()
+    n, asked, width = v.agg(F.count(F.lit(1)), F.count(F.when(queries, 1)), F.mode(F.size("v"), True)).first()
     v = v.where(F.size("v") == (width or 0))
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asked // QUERIES))
     points = v.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    ask = v.where(queries).dropDuplicates(["vec_id"]).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    ask = v.where(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     found = points.groupBy("shard", "block").cogroup(ask.groupBy("shard", "block")).applyInArrow(_searcher(k, factor), OUT)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

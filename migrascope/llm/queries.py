@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, licenses, mixing, neighbours, packing, pii, quality, secrets, simhash, substrings
+from . import html, licenses, mixing, neighbours, oracles, packing, pii, quality, secrets, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,4 +31,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.all_sql()
