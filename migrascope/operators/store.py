@@ -62,6 +62,22 @@ class Store:
         now = self._pointer()
         return self.spark.read.parquet(f"{self.path}/{now['version']}") if now else None
 
+    def get(self, key: str, column: str = "path"):
+        """The row of one key; None if there is none."""
+        now = self.read()
+        return None if now is None else now.where(F.col(column) == key).first()
+
+    def contains(self, key: str, column: str = "path") -> bool:
+        return self.get(key, column) is not None
+
+    def size(self) -> int:
+        now = self.read()
+        return 0 if now is None else now.count()
+
+    def clear(self) -> None:
+        fs, path = self._fs()
+        fs.delete(path(self.path), True)
+
     def batch(self) -> int:
         """Number of the last stream batch taken in; -1 before any."""
         return (self._pointer() or {}).get("batch", -1)

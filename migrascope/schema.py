@@ -20,6 +20,8 @@ CATEGORY_SUFFIXES = {
 }
 SCAN_ERRORS = ("walk", "read", "parse", "config", "non_utf8_path", "registry")
 RECOVERABLE_SCAN_ERRORS = ("read", "parse")
+WATCH_ERRORS = ("notify", "path_not_found", "channel_closed", "non_utf8_path", "io")
+RECOVERABLE_WATCH_ERRORS = ("non_utf8_path",)
 
 LOCATION = "struct<line:int,column:int,byte_offset:int>"
 PARSED_IMPORT = f"struct<path:string,kind:string,names:array<string>,location:{LOCATION}>"

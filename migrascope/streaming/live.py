@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..functions.paths import Matcher, WatchFilter
 from ..operators.extract import analyze
@@ -99,3 +100,28 @@ def status_changes(updates: DataFrame) -> DataFrame:
 def latest_status(updates: DataFrame) -> DataFrame:
     """Batch twin of the stream's state."""
     return latest_by(updates, "path", "ts")
+
+
+class ScanProgress(StreamingQueryListener):
+    """Files a stream has taken in so far; ``say`` hears of every ``each`` of them."""
+
+    def __init__(self, say: Callable[[str], None] = print, each: int = 100):
+        self.say, self.each, self.scanned = say, each, 0
+
+    def onQueryStarted(self, event) -> None:
+        self.say("scan started")
+
+    def onQueryProgress(self, event) -> None:
+        before = self.scanned
+        self.scanned += event.progress.numInputRows
+        if self.scanned // self.each > before // self.each:
+            self.say(f"{self.scanned} files scanned")
+
+    def onQueryTerminated(self, event) -> None:
+        self.say(f"scan complete: {self.scanned} files")
+
+
+def restart(query: StreamingQuery, again: Callable[[], StreamingQuery]) -> StreamingQuery:
+    """Stop a query and start the one for another root."""
+    query.stop()
+    return again()

@@ -156,6 +156,41 @@ def test_views(spark):
     assert {tuple(r) for r in d.collect()} == {("x.ts", 2), ("y.ts", 1), ("z.ts", None)}
 
 
+def test_browser(spark):
+    from migrascope.operators.browse import Browser
+
+    f = spark.createDataFrame([(f"{c}.ts", "legacy" if c in "ace" else "partial") for c in "edcba"], "path string, status string")
+    b = Browser(f, height=2)
+    assert b.chosen() is None and b.step(1).at == 0 and b.step(-1).at == 4 and b.top == 3 and b.step(1).at == 0 and b.top == 0
+    assert b.turn(1).at == 2 and b.turn(5).at == 4 and b.turn(-1).at == 2 and b.turn(-9).at == 0
+    assert b.last().chosen().path == "e.ts" and [r.path for r in b.in_sight().collect()] == ["d.ts", "e.ts"]
+    assert b.go(9).at == 4 and b.first().at == 0
+    only = b.narrowed(extract.with_status(f, "legacy"))
+    assert (only.total, only.chosen().path, only.step(1).chosen().path) == (3, "a.ts", "c.ts")
+    none = b.narrowed(f.where("false"))
+    assert none.step(1).at is None and none.chosen() is None
+
+
+def test_lookups(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/store")
+    assert s.size() == 0 and not s.contains("a")
+    s.upsert(spark.createDataFrame([("a", "legacy")], "path string, status string"))
+    assert s.get("a").status == "legacy" and s.contains("a") and not s.contains("b") and s.size() == 1
+    s.clear()
+    assert s.read() is None
+
+
+def test_progress():
+    from types import SimpleNamespace as N
+
+    said = []
+    p = live.ScanProgress(said.append, each=100)
+    for n in (60, 60, 10):
+        p.onQueryProgress(N(progress=N(numInputRows=n)))
+    p.onQueryTerminated(None)
+    assert said == ["120 files scanned", "scan complete: 130 files"]
+
+
 def test_events(spark):
     e = spark.createDataFrame([("a.ts", 0.0), ("a.ts", 0.05), ("b.js", 0.0), ("a.ts", 5.0)], "path string, s double").select("path", F.timestamp_seconds("s").alias("ts"))
     assert {(r.path, r.events) for r in live.debounce(e).collect()} == {("a.ts", 2), ("a.ts", 1), ("b.js", 1)}
