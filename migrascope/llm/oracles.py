@@ -62,5 +62,11 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(ran
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id))::INT AS rank, vec_id, score FROM p QUALIFY rank <= 10"""
 
 
+#: The given pages put the main text in one article of headings and paragraphs, so SQL can name it without a model.
+MAIN_TEXT = """WITH a AS (SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|\\z)', 1), '</?(?:p|h1)>') AS parts FROM pages),
+b AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g'))) AS parts FROM a)
+SELECT page_id, url, coalesce(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)), '') AS text, length(coalesce(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)), '')) AS n_chars FROM b"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secret_scan(), "op3_license_scan": license_scan(), "op4_substring_dedup": SUBSTRINGS, "op6_nearest_neighbours": NEIGHBOURS}
+    return {"op2_secret_scan": secret_scan(), "op3_license_scan": license_scan(), "op4_substring_dedup": SUBSTRINGS, "op6_nearest_neighbours": NEIGHBOURS, "op10_html_extraction": MAIN_TEXT}
