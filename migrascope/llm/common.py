@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
+import sys
 import uuid
+from collections.abc import Callable
+from types import ModuleType
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +25,9 @@ BLANK = r"[\x20\x09-\x0D]+"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Rows of an Arrow batch while a table is written: texts are long, and two tasks share an executor.
+ARROW_ROWS = 1000
+ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -51,27 +60,30 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 @contextlib.contextmanager
-def freeing(spark: SparkSession):
-    """Shuffle files of the statements run inside go as soon as each ends."""
-    before = spark.conf.get(FREE, None)
-    spark.conf.set(FREE, "true")
+def settings(spark: SparkSession, **values: str):
+    """SQL settings for the statements run inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(FREE)
-        else:
-            spark.conf.set(FREE, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def stored(df: DataFrame, path: str | None = None, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
-    This cuts the lineage: a lost executor costs its running tasks only.
+    This cuts the lineage: a lost executor costs its running tasks only.  The
+    shuffle files behind the table go as soon as it is written.
     """
     spark = df.sparkSession
     path = path or workspace(spark)
-    with freeing(spark):
+    with settings(spark, **{FREE: "true", ARROW: str(ARROW_ROWS)}):
         w = df.write.mode("overwrite")
         (w.partitionBy(partition_by) if partition_by else w).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -94,3 +106,34 @@ def hash_parts(spark: SparkSession) -> int:
 def clean_documents(docs: DataFrame) -> DataFrame:
     """The columns of documents by name, whatever else the table carries."""
     return docs.select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def held(key: str, build: Callable[[], object]):
+    """What a Python worker keeps between tasks: one thing, until another operator runs in it."""
+    box = sys.modules.setdefault("_worker_held", ModuleType("_worker_held"))
+    if getattr(box, "key", None) != key:
+        box.key, box.value = key, build()
+    return box.value
+
+
+def tidy(run: Callable) -> Callable:
+    """A batch function that gives its memory back when its task is over.
+
+    Spark's Python workers outlive tasks, and their memory counts against the
+    executor's while other operators run.
+    """
+
+    def give_back() -> None:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    def wrapped(batches):
+        sys.modules.pop("_worker_held", None)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Labelled pages the model is fitted to, and steps of the fit.
 PAGES, STEPS = 360, 160
 #: Characters of html whose trees are solved together.
@@ -387,5 +389,5 @@ def _extractor(model: Model):
 def digest(pages: DataFrame) -> DataFrame:
     """The contract's columns for every page."""
     d = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
-    d = d.mapInArrow(_extractor(trained()), "page_id bigint, url string, text string")
+    d = d.mapInArrow(tidy(_extractor(trained())), "page_id bigint, url string, text string")
     return d.withColumn("n_chars", F.char_length("text").cast("bigint"))

@@ -13,10 +13,13 @@ gives an empty mix; extra columns play no part.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, clean_documents, hash_parts, small, stored
+from .common import clean_documents, hash_parts, small, stored, tidy
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_PASSES = 3
@@ -26,10 +29,17 @@ SLICES = 1024
 SLOPES = (-0.5, 0.25, 0.5)
 
 
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n = pa.array([len(t.as_py().split()) for t in b.column(3)], pa.int64())  # splits on the six blanks
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], n], names=["doc_id", "source", "th", "size"])
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """One row (doc_id, source, size, th) per input row; ``th`` tells texts of one doc_id apart."""
+    """One row (doc_id, source, th, size) per input row; ``th`` tells texts of one doc_id apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"), F.xxhash64(text).alias("th"))
+    d = docs.select(F.col("doc_id").cast("bigint"), "source", F.xxhash64(text).alias("th"), text.cast("binary").alias("bytes"))
+    return d.mapInArrow(tidy(_sized), "doc_id bigint, source string, th bigint, size bigint")
 
 
 def targets(by_source: DataFrame) -> DataFrame:
@@ -142,5 +152,5 @@ def mix(docs: DataFrame) -> DataFrame:
         keyed = keyed.dropDuplicates(["doc_id", "source", "__th"])
     p = planned.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("th").alias("__p_th"), "pass", "position")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__p_th")) & F.col("source").eqNullSafe(F.col("__source"))
-    out = keyed.join(p, same).repartitionByRange(hash_parts(spark), "position", "doc_id").sortWithinPartitions("position", "doc_id", "pass")
+    out = keyed.join(p.hint("shuffle_hash"), same).repartitionByRange(hash_parts(spark), "position", "doc_id").sortWithinPartitions("position", "doc_id", "pass")
     return out.select(*docs.columns)

@@ -24,11 +24,9 @@ empty table gives no pieces; extra columns play no part.
 from __future__ import annotations
 
 import re
-import sys
 import zlib
 from collections.abc import Iterator
 from itertools import chain
-from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
+
 LENGTH = 4096
 END_ID = 2
 #: Cost in padded tokens of a cut between two sentences of one document, and inside a sentence.
@@ -77,16 +77,6 @@ class _Numbers(dict):
         return n
 
 
-def _encoder(path: str) -> Encoder:
-    """The Python worker's encoder: it outlives a task, so later tasks know the words of earlier ones."""
-    held = sys.modules.setdefault("_packing_encoders", ModuleType("_packing_encoders"))
-    if not hasattr(held, "by_path"):
-        held.by_path = {}
-    if path not in held.by_path:
-        held.by_path[path] = Encoder(path)
-    return held.by_path[path]
-
-
 class Encoder:
     """Token ids of whole texts, by the tokenizer's own ids of each distinct part.
 
@@ -256,18 +246,19 @@ def _packer(path: str, length: int, block: int):
     names = [x.split()[0] for x in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        # it outlives the task, so the next one knows the words of this one
+        encoder = held(f"encoder {path}", lambda: Encoder(path))
         task = TaskContext.get()
         sequence = (task.partitionId() if task else 0) << 36
         ids: list = []
         docs: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
+        size_held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal ids, docs, held, sequence
+            nonlocal ids, docs, size_held, sequence
             rows, n = _pieces(ids, docs, sequence, length)
             sequence += n
-            ids, docs, held = [], [], 0
+            ids, docs, size_held = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
         for b in batches:
@@ -280,9 +271,9 @@ def _packer(path: str, length: int, block: int):
                 if size >= SPLIT or i == b.num_rows - 1:
                     got = encoder.encode(some)
                     docs += got
-                    held += sum(len(g[0]) for g in got)
+                    size_held += sum(len(g[0]) for g in got)
                     some, size = [], 0
-                    if held >= block:
+                    if size_held >= block:
                         yield from flush()
         if docs:
             yield from flush()

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import clean_documents, small, stored
+from .common import clean_documents, small, stored, tidy
 
 #: Smoothing of the ratios: words or lines of an average text put to each text.
 PRIOR_WORDS, PRIOR_LINES, PRIOR_CHARS = 20, 5, 5.2
@@ -118,7 +118,7 @@ def statistics(docs: DataFrame, *columns: str) -> DataFrame:
     d = docs.select(*columns, F.col("text").cast("binary").alias("__bytes"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
     names = [x.split()[0] for x in COUNTS.split(", ")] + ["x"]
-    return d.mapInArrow(_measurer(names), f"{kept}, {COUNTS}, x array<double>")
+    return d.mapInArrow(tidy(_measurer(names)), f"{kept}, {COUNTS}, x array<double>")
 
 
 def chi2_below(x: float, k: int) -> float:

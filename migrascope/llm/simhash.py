@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import clean_documents, drop, hash_parts, stored, workspace
+from .common import clean_documents, drop, hash_parts, stored, tidy, workspace
 
 SEED = 42
 RADIUS = 3
@@ -59,7 +59,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) per row; fp holds the 64 bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary")).mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary")).mapInArrow(tidy(_fingerprints), "doc_id bigint, fp bigint")
 
 
 def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -146,7 +146,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         pair = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
         keyed = k.select(F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(pair).alias("bucket"), "fp", "node")
     dealt = keyed.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_linker(radius), "u bigint, v bigint").distinct()
+    return dealt.mapInArrow(tidy(_linker(radius)), "u bigint, v bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
