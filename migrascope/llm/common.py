@@ -43,12 +43,12 @@ def workspace(spark: SparkSession) -> str:
         base = spark.conf.get("spark.sql.warehouse.dir") + "/work"
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     if own:
-        atexit.register(lambda: contextlib.suppress(Exception) and _quiet_drop(spark, path))
+        atexit.register(_drop_if_alive, spark, path)
     return path
 
 
-def _quiet_drop(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
+def _drop_if_alive(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone by then
         drop(spark, path)
 
 

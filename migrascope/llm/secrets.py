@@ -65,7 +65,8 @@ def window_entropy(s: Column, size: int) -> Column:
 
         return F.aggregate(F.sequence(F.lit(1), F.size(codes)), state, step, lambda acc: F.when(acc["least"] > 1e8, 0.0).otherwise(F.lit(math.log2(WINDOW)) - acc["least"] / WINDOW))
 
-    return over(codes)
+    # bound to a lambda's variable, the codes are computed once, not at every step
+    return F.get(F.transform(F.array(codes), over), F.lit(0))
 
 
 def scan(docs: DataFrame) -> DataFrame:

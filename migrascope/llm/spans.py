@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Matches whose spans are gathered at a time.
+BLOCK = 256
 SPAN = "array<struct<start:bigint,ord:int,end:bigint,kind:string,text:string>>"
 
 
@@ -22,7 +24,7 @@ def found(text: Column, pattern: str, kind: str, order: int, probe: str | None =
     """
     pieces = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    pairs = F.filter(F.zip_with(pieces, hits, lambda p, m: F.struct(p.alias("p"), m.alias("m"))), lambda x: x["m"].isNotNull())
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), none().alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -31,7 +33,17 @@ def found(text: Column, pattern: str, kind: str, order: int, probe: str | None =
         one = F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("text"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.when(text.rlike(probe or pattern), F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(none())
+    def block(acc: Column, some: Column) -> Column:
+        """A block's spans are gathered apart and then put to the rest, so long arrays are copied per block, not per match."""
+        own = F.aggregate(some, F.struct(acc["at"].alias("at"), none().alias("out")), step)
+        return F.get(F.transform(F.array(own), lambda o: F.struct(o["at"].alias("at"), F.concat(acc["out"], o["out"]).alias("out"))), F.lit(0))
+
+    def folded(pairs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK)), lambda j: F.slice(pairs, (j * BLOCK + 1).cast("int"), F.lit(BLOCK)))
+        return F.when(F.size(pairs) == 0, none()).otherwise(F.aggregate(blocks, zero, block, lambda acc: acc["out"]))
+
+    spans = F.get(F.transform(F.array(pairs), folded), F.lit(0))
+    return F.when(text.rlike(probe or pattern), spans).otherwise(none())
 
 
 def joined(spans: Column) -> Column:
