@@ -23,6 +23,7 @@ table gives an empty result; extra columns play no part.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -34,20 +35,22 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, hash_parts, stored, workspace
+from .common import ARROW, ARROW_ROWS, FREE, drop, hash_parts, settings, stored, tidy, workspace
 
 WINDOW = 13
 #: Windows a map task sorts and packs at a time.
-PACK = 1_000_000
+PACK = 600_000
+#: Ranges of fingerprints per bucket of documents: a range sends a row of repeats to each bucket.
+BUCKET_PARTS = 8
 #: Bytes of text split at a time.
 SPLIT = 2_000_000
 #: Words whose hash a worker remembers.
-REMEMBER = 400_000
+REMEMBER = 300_000
 KEY_BITS, CHECK_BITS = 40, 32
 #: Odd multipliers of the two rolling hashes and of the final mix.
 ROLL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-ENTRY = "rng int, ids binary, ths binary, doc binary, pos binary, key binary, chk binary, kind int"
+ENTRY = "rng int, bucket int, ids binary, ths binary, doc binary, pos binary, key binary, chk binary, kind int"
 WINDOWS, RUN, FLAGS = 0, 1, 2
 
 
@@ -101,18 +104,19 @@ def rolled(hashes: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarr
     return out[0] >> np.uint64(64 - KEY_BITS), out[1] >> np.uint64(64 - CHECK_BITS)
 
 
-def _flag_rows(parts: int, doc: np.ndarray, pos: np.ndarray, id_of: np.ndarray, th_of: np.ndarray) -> list[tuple]:
-    """Repeats as one row per bucket of documents."""
+def _flag_rows(parts: int, rng: int | None, doc: np.ndarray, pos: np.ndarray, id_of: np.ndarray, th_of: np.ndarray) -> list[tuple]:
+    """Repeats as one row per bucket of documents, filed under ``rng`` or, without one, under their bucket's number."""
     if not len(doc):
         return []
-    bucket = (id_of.view(np.uint64) % np.uint64(parts)).astype(np.int64)[doc]
+    buckets = max(1, parts // BUCKET_PARTS)
+    bucket = (id_of.view(np.uint64) % np.uint64(buckets)).astype(np.int64)[doc]
     order = np.lexsort((pos, doc, bucket))
     doc, pos, bucket = doc[order], pos[order], bucket[order]
     cut = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
     out = []
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         used, local = _local(doc[a:b], len(id_of))
-        out.append((int(bucket[a]), _signed(id_of[used]), _signed(th_of[used]), pack(local), pack(pos[a:b]), None, None, FLAGS))
+        out.append((int(bucket[a]) if rng is None else rng, int(bucket[a]), _signed(id_of[used]), _signed(th_of[used]), pack(local), pack(pos[a:b]), None, None, FLAGS))
     return out
 
 
@@ -171,13 +175,13 @@ def _packer(parts: int):
             key, chk, doc, pos = (a[order] for a in arrays)
             del arrays, order
             repeat = id_of[doc] != _least(key, chk, id_of[doc])
-            rows = _flag_rows(parts, doc[repeat], pos[repeat], id_of, th_of)
+            rows = _flag_rows(parts, None, doc[repeat], pos[repeat], id_of, th_of)
             key, chk, doc, pos = (x[~repeat] for x in (key, chk, doc, pos))
             cut = np.searchsorted(key, np.arange(parts + 1, dtype=np.uint64) * np.uint64(width))
             for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                 if a < b:
                     used, local = _local(doc[a:b], len(id_of))
-                    rows.append((r, _signed(id_of[used]), _signed(th_of[used]), pack(local), pack(pos[a:b]), pack_sorted(key[a:b]), pack(chk[a:b]), WINDOWS))
+                    rows.append((r, None, _signed(id_of[used]), _signed(th_of[used]), pack(local), pack(pos[a:b]), pack_sorted(key[a:b]), pack(chk[a:b]), WINDOWS))
                 if len(rows) >= 256:
                     yield pa.RecordBatch.from_arrays(_columns(rows), names=NAMES)
                     rows = []
@@ -205,7 +209,7 @@ def _packer(parts: int):
 
 
 NAMES = [x.split()[0] for x in ENTRY.split(", ")]
-TYPES = [pa.int32(), *[pa.binary()] * 6, pa.int32()]
+TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 6, pa.int32()]
 
 
 def _columns(rows: list[tuple]) -> list[pa.Array]:
@@ -256,42 +260,42 @@ def _held(key: np.ndarray, chk: np.ndarray, run_key: np.ndarray, run_chk: np.nda
 
 
 def _merger(parts: int):
-    def merge(table: pa.Table) -> pa.Table:
+    def merge(new: pa.Table, history: pa.Table) -> pa.Table:
         """One range: the batch against itself and the runs; flags by bucket of documents, and the batch's new run."""
-        rng = table.column("rng")[0].as_py()
-        rows = table.to_pylist()
+        rows = new.to_pylist()
         out = [tuple(r[c] for c in NAMES) for r in rows if r["kind"] == FLAGS]
-        new = [r for r in rows if r["kind"] == WINDOWS]
-        if new:
-            key = np.concatenate([unpack_sorted(r["key"]) for r in new])
-            chk = np.concatenate([unpack(r["chk"]).astype(np.uint32) for r in new])
-            pos = np.concatenate([unpack(r["pos"]).astype(np.int32) for r in new])
-            ids = [unpack(r["ids"]).view(np.int64) for r in new]
+        rows = [r for r in rows if r["kind"] == WINDOWS]
+        if rows:
+            key = np.concatenate([unpack_sorted(r["key"]) for r in rows])
+            chk = np.concatenate([unpack(r["chk"]).astype(np.uint32) for r in rows])
+            pos = np.concatenate([unpack(r["pos"]).astype(np.int32) for r in rows])
+            ids = [unpack(r["ids"]).view(np.int64) for r in rows]
             start = np.cumsum([0, *map(len, ids)])
-            doc = np.concatenate([(unpack(r["doc"]).astype(np.int64) + s).astype(np.int32) for r, s in zip(new, start, strict=False)])
-            id_of, th_of = np.concatenate(ids), np.concatenate([unpack(r["ths"]).view(np.int64) for r in new])
+            doc = np.concatenate([(unpack(r["doc"]).astype(np.int64) + s).astype(np.int32) for r, s in zip(rows, start, strict=False)])
+            id_of, th_of = np.concatenate(ids), np.concatenate([unpack(r["ths"]).view(np.int64) for r in rows])
             order = _order(key, chk)
             key, chk, pos, doc = key[order], chk[order], pos[order], doc[order]
             repeat = id_of[doc] != _least(key, chk, id_of[doc])
             own = _starts(key, chk)
             new_key, new_chk = key[own], chk[own]
             held = np.zeros(len(own), bool)
-            for r in (r for r in rows if r["kind"] == RUN):
-                held |= _held(new_key, new_chk, unpack_sorted(r["key"]), unpack(r["chk"]).astype(np.uint32))
+            for k, c in zip(history.column("key"), history.column("chk"), strict=True):
+                held |= _held(new_key, new_chk, unpack_sorted(k.as_py()), unpack(c.as_py()).astype(np.uint32))
             repeat |= np.repeat(held, np.diff(np.r_[own, len(key)]))
-            out += _flag_rows(parts, doc[repeat], pos[repeat], id_of, th_of)
-            out.append((rng, None, None, None, None, pack_sorted(new_key[~held]), pack(new_chk[~held]), RUN))
+            out += _flag_rows(parts, rows[0]["rng"], doc[repeat], pos[repeat], id_of, th_of)
+            out.append((rows[0]["rng"], None, None, None, None, None, pack_sorted(new_key[~held]), pack(new_chk[~held]), RUN))
         return _table(out)
 
     return merge
 
 
-def _compact(table: pa.Table) -> pa.Table:
-    """One range of several runs as one run; no two runs hold the same fingerprint."""
-    key = np.concatenate([unpack_sorted(x.as_py()) for x in table.column("key")])
-    chk = np.concatenate([unpack(x.as_py()).astype(np.uint32) for x in table.column("chk")])
+def _compact(left: pa.Table, right: pa.Table) -> pa.Table:
+    """One range of two runs as one run; no two runs hold the same fingerprint."""
+    rows = [*left.to_pylist(), *right.to_pylist()]
+    key = np.concatenate([unpack_sorted(r["key"]) for r in rows])
+    chk = np.concatenate([unpack(r["chk"]).astype(np.uint32) for r in rows])
     order = _order(key, chk)
-    return _table([(table.column("rng")[0].as_py(), None, None, None, None, pack_sorted(key[order]), pack(chk[order]), RUN)])
+    return _table([(rows[0]["rng"], None, None, None, None, None, pack_sorted(key[order]), pack(chk[order]), RUN)])
 
 
 def _gather(table: pa.Table) -> pa.Table:
@@ -314,20 +318,34 @@ def _gather(table: pa.Table) -> pa.Table:
 
 @dataclass
 class Index:
-    """Runs of window fingerprints on shared storage, oldest first, and the largest doc_id they cover."""
+    """Runs of window fingerprints, oldest first, and the largest doc_id they cover.
+
+    A run is a table on shared storage, bucketed by fingerprint range: a batch
+    is dealt to a single run's buckets, and two runs are compacted, without
+    history being shuffled.  While there are more than ``max_runs`` runs, the
+    next batch first has the two neighbours that are smallest compacted.
+    """
 
     spark: SparkSession
     parts: int
     max_runs: int = 2
     runs: list[str] = field(default_factory=list)
     flags: list[str] = field(default_factory=list)
+    sizes: dict[str, int] = field(default_factory=dict)
     upto: int | None = None
 
-    def _read(self, path: str, kind: int) -> DataFrame:
-        return self.spark.read.schema(ENTRY).parquet(path).where(F.col("kind") == kind)
+    def _write(self, rows: DataFrame) -> str:
+        name = f"substring_run_{uuid.uuid4().hex}"
+        w = rows.write.partitionBy("kind").bucketBy(self.parts, "rng").sortBy("rng").option("path", workspace(self.spark))
+        with settings(self.spark, **{FREE: "true", ARROW: str(ARROW_ROWS)}):
+            w.saveAsTable(name)
+        return name
 
-    def _all(self, paths: list[str], kind: int) -> DataFrame | None:
-        return reduce(DataFrame.unionByName, [self._read(p, kind) for p in paths]) if paths else None
+    def _read(self, name: str, kind: int) -> DataFrame:
+        return self.spark.table(name).where(F.col("kind") == kind).select(*NAMES)
+
+    def _all(self, names: list[str], kind: int) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self._read(n, kind) for n in names], self.spark.createDataFrame([], ENTRY)) if len(names) != 1 else self._read(names[0], kind)
 
     def add(self, docs: DataFrame) -> None:
         """Take in the next batch (doc_id, th, text).
@@ -339,32 +357,49 @@ class Index:
             return
         if self.upto is not None and ends[0] <= self.upto:
             raise ValueError(f"batches must come in ascending doc_id: {ends[0]} after {self.upto}")
-        if len(self.runs) >= self.max_runs:
+        while len(self.runs) > self.max_runs:
             self.compact()
-        rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint"), "th", F.col("text").cast("binary")).mapInArrow(_packer(self.parts), ENTRY)
-        if self.runs:
-            rows = rows.unionByName(self._all(self.runs, RUN))
-        path = workspace(self.spark)
-        found = stored(rows.groupBy("rng").applyInArrow(_merger(self.parts), ENTRY), path, "kind")
-        if not found.isEmpty():  # a batch without any window leaves nothing
-            self.runs.append(path)
-            self.flags.append(path)
+        rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint"), "th", F.col("text").cast("binary")).mapInArrow(tidy(_packer(self.parts)), ENTRY)
+        history = self._all(self.runs, RUN)
+        name = self._write(rows.groupBy("rng").cogroup(history.groupBy("rng")).applyInArrow(_merger(self.parts), ENTRY))
+        self.runs.append(name)
+        self.flags.append(name)
+        self.sizes[name] = self._bytes(name)
         self.upto = ends[1]
 
+    def _bytes(self, name: str) -> int:
+        return self._read(name, RUN).agg(F.coalesce(F.sum(F.octet_length("key") + F.octet_length("chk")), F.lit(0))).first()[0]
+
     def compact(self) -> None:
-        """Merge all runs to one and remove them; their flags stay."""
-        path = workspace(self.spark)
-        stored(self._all(self.runs, RUN).groupBy("rng").applyInArrow(_compact, ENTRY), path, "kind")
-        for old in self.runs:
-            drop(self.spark, f"{old}/kind={RUN}")
-        self.runs = [path]
+        """Merge the two neighbouring runs that are smallest together; their flags stay."""
+        at = min(range(len(self.runs) - 1), key=lambda i: self.sizes[self.runs[i]] + self.sizes[self.runs[i + 1]])
+        one, two = self.runs[at : at + 2]
+        name = self._write(self._read(one, RUN).groupBy("rng").cogroup(self._read(two, RUN).groupBy("rng")).applyInArrow(_compact, ENTRY))
+        self.sizes[name] = self._bytes(name)
+        self.runs[at : at + 2] = [name]
+        for old in (one, two):
+            if old not in self.flags:
+                self._drop(old)
+            else:  # its repeats are still wanted, its run is not
+                drop(self.spark, f"{self._path(old)}/kind={RUN}")
+
+    def _path(self, name: str) -> str:
+        return self.spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()["data_type"]
+
+    def _drop(self, name: str) -> None:
+        path = self._path(name)
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop(self.spark, path)
+
+    def close(self) -> None:
+        """Remove all runs and flags."""
+        for name in {*self.runs, *self.flags}:
+            self._drop(name)
+        self.runs, self.flags = [], []
 
     def repeats(self) -> DataFrame:
         """(f_id, f_th, flags): the packed starts of the repeated windows of each document so far."""
-        found = self._all(self.flags, FLAGS)
-        if found is None:
-            return self.spark.createDataFrame([], "f_id bigint, f_th bigint, flags binary")
-        return found.groupBy("rng").applyInArrow(_gather, "f_id bigint, f_th bigint, flags binary")
+        return self._all(self.flags, FLAGS).groupBy("bucket").applyInArrow(_gather, "f_id bigint, f_th bigint, flags binary")
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,25 +433,24 @@ def _joined(docs: DataFrame, batches: int, max_runs: int) -> DataFrame:
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10000)).first()[0] if batches > 1 else []
     cuts = sorted(set(cuts or []))
-    index = Index(spark, hash_parts(spark), max_runs)
+    index = Index(spark, 2 * hash_parts(spark), max_runs)
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = keyed.where(F.col("doc_id").isNotNull())
         part = part.where(F.col("doc_id") > low) if low is not None else part
         part = part.where(F.col("doc_id") <= high) if high is not None else part
         index.add(part)
     by_doc = stored(index.repeats())
-    for path in {*index.runs, *index.flags}:
-        drop(spark, path)
+    index.close()
     joined = keyed.join(by_doc.hint("shuffle_hash"), (F.col("doc_id") == F.col("f_id")) & (F.col("th") == F.col("f_th")), "left")
     return joined.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary"), "flags")
 
 
 def dedup(docs: DataFrame, batches: int = 3, max_runs: int = 1) -> DataFrame:
     """(doc_id, n_words, n_removed, text): ``text`` is the kept words, joined by one space."""
-    rows = _joined(docs, batches, max_runs).mapInArrow(_finish, "doc_id bigint, n_words bigint, n_removed bigint, kept binary")
+    rows = _joined(docs, batches, max_runs).mapInArrow(tidy(_finish), "doc_id bigint, n_words bigint, n_removed bigint, kept binary")
     return rows.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("text"))
 
 
 def digest(docs: DataFrame, batches: int = 3, max_runs: int = 1) -> DataFrame:
     """The contract's columns for every row."""
-    return _joined(docs, batches, max_runs).mapInArrow(_digested, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return _joined(docs, batches, max_runs).mapInArrow(tidy(_digested), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
