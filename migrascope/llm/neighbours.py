@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Vectors of a shard, queries of a block, points of a leaf.
-SHARD, QUERIES, LEAF = 20_000, 2_000, 48
+SHARD, QUERIES, LEAF = 20_000, 2_000, 512
 OUT = "query_id bigint, vec_id bigint, score double"
 
 
@@ -85,9 +85,14 @@ class Tree:
             for a in range(0, len(who), block):
                 w = who[a : a + block]
                 d = distances(x, q[w])
-                ids = np.broadcast_to(self.ids[rows], d.shape)
-                d = np.where(ids == query_ids[w][:, None], np.inf, d)
-                all_d, all_i = np.concatenate([best_d[w], d], 1), np.concatenate([best_i[w], ids], 1)
+                d[self.ids[rows] == query_ids[w][:, None]] = np.inf
+                better = np.flatnonzero((d <= best_d[w, -1:]).any(axis=1))
+                if not len(better):
+                    continue
+                w, d = w[better], d[better]
+                near = np.argsort(d, axis=1, kind="stable")[:, :k]  # a leaf's vec_ids ascend, so ties are in order
+                all_d = np.concatenate([best_d[w], np.take_along_axis(d, near, 1)], 1)
+                all_i = np.concatenate([best_i[w], self.ids[rows][near]], 1)
                 o = np.lexsort((all_i, all_d), axis=1)[:, :k]
                 best_d[w], best_i[w] = np.take_along_axis(all_d, o, 1), np.take_along_axis(all_i, o, 1)
 
