@@ -23,7 +23,6 @@ table gives an empty result; extra columns play no part.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -35,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ARROW, ARROW_ROWS, FREE, drop, hash_parts, settings, stored, tidy, workspace
+from .common import drop, hash_parts, stored, tidy, workspace
 
 WINDOW = 13
 #: Windows a map task sorts and packs at a time.
@@ -260,11 +259,11 @@ def _held(key: np.ndarray, chk: np.ndarray, run_key: np.ndarray, run_chk: np.nda
 
 
 def _merger(parts: int):
-    def merge(new: pa.Table, history: pa.Table) -> pa.Table:
+    def merge(table: pa.Table) -> pa.Table:
         """One range: the batch against itself and the runs; flags by bucket of documents, and the batch's new run."""
-        rows = new.to_pylist()
-        out = [tuple(r[c] for c in NAMES) for r in rows if r["kind"] == FLAGS]
-        rows = [r for r in rows if r["kind"] == WINDOWS]
+        every = table.to_pylist()
+        out = [tuple(r[c] for c in NAMES) for r in every if r["kind"] == FLAGS]
+        rows = [r for r in every if r["kind"] == WINDOWS]
         if rows:
             key = np.concatenate([unpack_sorted(r["key"]) for r in rows])
             chk = np.concatenate([unpack(r["chk"]).astype(np.uint32) for r in rows])
@@ -279,8 +278,8 @@ def _merger(parts: int):
             own = _starts(key, chk)
             new_key, new_chk = key[own], chk[own]
             held = np.zeros(len(own), bool)
-            for k, c in zip(history.column("key"), history.column("chk"), strict=True):
-                held |= _held(new_key, new_chk, unpack_sorted(k.as_py()), unpack(c.as_py()).astype(np.uint32))
+            for r in (r for r in every if r["kind"] == RUN):
+                held |= _held(new_key, new_chk, unpack_sorted(r["key"]), unpack(r["chk"]).astype(np.uint32))
             repeat |= np.repeat(held, np.diff(np.r_[own, len(key)]))
             out += _flag_rows(parts, rows[0]["rng"], doc[repeat], pos[repeat], id_of, th_of)
             out.append((rows[0]["rng"], None, None, None, None, None, pack_sorted(new_key[~held]), pack(new_chk[~held]), RUN))
@@ -289,9 +288,9 @@ def _merger(parts: int):
     return merge
 
 
-def _compact(left: pa.Table, right: pa.Table) -> pa.Table:
-    """One range of two runs as one run; no two runs hold the same fingerprint."""
-    rows = [*left.to_pylist(), *right.to_pylist()]
+def _compact(table: pa.Table) -> pa.Table:
+    """One range of several runs as one run; no two runs hold the same fingerprint."""
+    rows = table.to_pylist()
     key = np.concatenate([unpack_sorted(r["key"]) for r in rows])
     chk = np.concatenate([unpack(r["chk"]).astype(np.uint32) for r in rows])
     order = _order(key, chk)
@@ -318,12 +317,10 @@ def _gather(table: pa.Table) -> pa.Table:
 
 @dataclass
 class Index:
-    """Runs of window fingerprints, oldest first, and the largest doc_id they cover.
+    """Runs of window fingerprints on shared storage, oldest first, and the largest doc_id they cover.
 
-    A run is a table on shared storage, bucketed by fingerprint range: a batch
-    is dealt to a single run's buckets, and two runs are compacted, without
-    history being shuffled.  While there are more than ``max_runs`` runs, the
-    next batch first has the two neighbours that are smallest compacted.
+    While there are more than ``max_runs`` runs, the next batch first has the
+    two neighbours that are smallest together compacted.
     """
 
     spark: SparkSession
@@ -335,17 +332,17 @@ class Index:
     upto: int | None = None
 
     def _write(self, rows: DataFrame) -> str:
-        name = f"substring_run_{uuid.uuid4().hex}"
-        w = rows.write.partitionBy("kind").bucketBy(self.parts, "rng").sortBy("rng").option("path", workspace(self.spark))
-        with settings(self.spark, **{FREE: "true", ARROW: str(ARROW_ROWS)}):
-            w.saveAsTable(name)
-        return name
+        path = workspace(self.spark)
+        stored(rows, path, "kind")
+        run = self._read(path, RUN)
+        self.sizes[path] = run.agg(F.coalesce(F.sum(F.octet_length("key") + F.octet_length("chk")), F.lit(0))).first()[0]
+        return path
 
-    def _read(self, name: str, kind: int) -> DataFrame:
-        return self.spark.table(name).where(F.col("kind") == kind).select(*NAMES)
+    def _read(self, path: str, kind: int) -> DataFrame:
+        return self.spark.read.schema(ENTRY).parquet(path).where(F.col("kind") == kind)
 
-    def _all(self, names: list[str], kind: int) -> DataFrame:
-        return reduce(DataFrame.unionByName, [self._read(n, kind) for n in names], self.spark.createDataFrame([], ENTRY)) if len(names) != 1 else self._read(names[0], kind)
+    def _all(self, paths: list[str], kind: int) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self._read(p, kind) for p in paths], self.spark.createDataFrame([], ENTRY))
 
     def add(self, docs: DataFrame) -> None:
         """Take in the next batch (doc_id, th, text).
@@ -360,41 +357,23 @@ class Index:
         while len(self.runs) > self.max_runs:
             self.compact()
         rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint"), "th", F.col("text").cast("binary")).mapInArrow(tidy(_packer(self.parts)), ENTRY)
-        history = self._all(self.runs, RUN)
-        name = self._write(rows.groupBy("rng").cogroup(history.groupBy("rng")).applyInArrow(_merger(self.parts), ENTRY))
-        self.runs.append(name)
-        self.flags.append(name)
-        self.sizes[name] = self._bytes(name)
+        path = self._write(rows.unionByName(self._all(self.runs, RUN)).groupBy("rng").applyInArrow(_merger(self.parts), ENTRY))
+        self.runs.append(path)
+        self.flags.append(path)
         self.upto = ends[1]
 
-    def _bytes(self, name: str) -> int:
-        return self._read(name, RUN).agg(F.coalesce(F.sum(F.octet_length("key") + F.octet_length("chk")), F.lit(0))).first()[0]
-
     def compact(self) -> None:
         """Merge the two neighbouring runs that are smallest together; their flags stay."""
         at = min(range(len(self.runs) - 1), key=lambda i: self.sizes[self.runs[i]] + self.sizes[self.runs[i + 1]])
-        one, two = self.runs[at : at + 2]
-        name = self._write(self._read(one, RUN).groupBy("rng").cogroup(self._read(two, RUN).groupBy("rng")).applyInArrow(_compact, ENTRY))
-        self.sizes[name] = self._bytes(name)
-        self.runs[at : at + 2] = [name]
-        for old in (one, two):
-            if old not in self.flags:
-                self._drop(old)
-            else:  # its repeats are still wanted, its run is not
-                drop(self.spark, f"{self._path(old)}/kind={RUN}")
-
-    def _path(self, name: str) -> str:
-        return self.spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()["data_type"]
-
-    def _drop(self, name: str) -> None:
-        path = self._path(name)
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        drop(self.spark, path)
+        old = self.runs[at : at + 2]
+        self.runs[at : at + 2] = [self._write(self._all(old, RUN).groupBy("rng").applyInArrow(_compact, ENTRY))]
+        for path in old:
+            drop(self.spark, f"{path}/kind={RUN}")
 
     def close(self) -> None:
         """Remove all runs and flags."""
-        for name in {*self.runs, *self.flags}:
-            self._drop(name)
+        for path in {*self.runs, *self.flags}:
+            drop(self.spark, path)
         self.runs, self.flags = [], []
 
     def repeats(self) -> DataFrame:
