@@ -431,5 +431,5 @@ def dedup(docs: DataFrame, batches: int = 3, max_runs: int = 1) -> DataFrame:
 
 
 def digest(docs: DataFrame, batches: int = 3, max_runs: int = 1) -> DataFrame:
-    """The contract's columns for every row."""
-    return _joined(docs, batches, max_runs).mapInArrow(tidy(_digested), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    """The contract's columns for every row: a written table, as its rows are few bytes and the texts behind them many."""
+    return stored(_joined(docs, batches, max_runs).mapInArrow(tidy(_digested), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"))
