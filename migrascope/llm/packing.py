@@ -2,7 +2,8 @@
 
 A block is a run of documents in table order.  Its tokens form one line, on
 which cuts may fall at document ends (free), at sentence ends (a small
-penalty) and, inside sentences longer than a sequence, anywhere.  With P(i)
+penalty) and, inside sentences of over an eighth of a sequence, at every
+256th part of one (a larger penalty).  With P(i)
 the tokens before cut i and c(i) its penalty, the least cost of a packing that
 ends at cut j is
 
@@ -86,10 +87,14 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # The same for words of a-z alone, which need neither a normal form nor the tokenizer's own parting.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -105,25 +110,32 @@ class Encoder:
 
     def _store(self, parts: list[str]) -> None:
         """Keep the ids of new parts; letters are encoded as one text, whose words end at word-end tokens."""
-        plain = np.array([p.isalpha() for p in parts])
+        simple = np.array([p.isascii() and p.isalpha() for p in parts])
+        letters = np.array([p.isalpha() for p in parts]) & ~simple
         size = np.zeros(len(parts), np.int64)
-        ids = np.zeros(0, np.uint32)
-        if plain.any():
-            one = " ".join(p for p, ok in zip(parts, plain, strict=True) if ok)
-            ids = np.array(self.tokenizer.encode_batch_fast([one], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == plain.sum():
-                size[plain] = np.diff(ends, prepend=0)
-            else:  # some letter is parted after all
-                plain[:], ids = False, ids[:0]
-        rest = self.tokenizer.encode_batch_fast([p for p, ok in zip(parts, plain, strict=True) if not ok], add_special_tokens=False)
-        size[~plain] = [len(e.ids) for e in rest]
-        order = np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]
+        found, order = [], []
+        for tokenizer, kind in ((self.plain, simple), (self.tokenizer, letters)):
+            if kind.any():
+                at = np.flatnonzero(kind)
+                ids = np.array(tokenizer.encode_batch_fast([" ".join([parts[i] for i in at.tolist()])], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == len(at):  # else some letter is parted after all, and each is encoded alone
+                    size[at] = np.diff(ends, prepend=0)
+                    found.append(ids)
+                    order.append(at)
+        done = np.zeros(len(parts), bool)
+        for at in order:
+            done[at] = True
+        at = np.flatnonzero(~done)
+        rest = self.tokenizer.encode_batch_fast([parts[i] for i in at.tolist()], add_special_tokens=False)
+        size[at] = [len(e.ids) for e in rest]
+        found.append(np.array([i for e in rest for i in e.ids], np.uint32))
+        order = np.concatenate([*order, at])
         start = np.empty(len(parts), np.int64)
         start[order] = len(self.flat) + np.cumsum(size[order]) - size[order]
         self.start, self.size = np.r_[self.start, start], np.r_[self.size, size]
         self.stop = np.r_[self.stop, [p[-1] in STOPS for p in parts]]
-        self.flat = np.concatenate([self.flat, ids, np.array([i for e in rest for i in e.ids], np.uint32)])
+        self.flat = np.concatenate([self.flat, *found])
 
     def _learn(self, words: list[str]) -> None:
         part, fresh = self.part, []
@@ -167,12 +179,14 @@ class Encoder:
         stop = np.zeros(0, bool)
         ids = np.zeros(0, np.uint32)
         if flat_words:
-            at = self.of_word[code].ravel()
-            start, size = self.start[at], self.size[at]
+            part = self.of_word[code].ravel()
+            start, size = self.start[part], self.size[part]
             ends = np.cumsum(size)
-            ids = self.flat[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]))]
+            at = np.repeat((start - (ends - size)).astype(np.int32), size)
+            at += np.arange(len(at), dtype=np.int32)
+            ids = self.flat[at]
             ends = ends[1::2]
-            stop = self.stop[at[1::2]]
+            stop = self.stop[part[1::2]]
         cut = np.r_[0, np.cumsum(n)]
         edge = np.r_[0, ends][cut]
         out = []
@@ -191,8 +205,9 @@ def cuts(sizes: list[int], breaks: list[np.ndarray], length: int = LENGTH) -> np
         cost = np.full(len(inner), SENTENCE_CUT)
         edge = np.r_[0, inner, size]
         long = np.flatnonzero(np.diff(edge) > length // 8)
-        if len(long):  # long sentences may also be cut inside, at every token of theirs
-            extra = np.concatenate([np.arange(edge[i] + 1, edge[i + 1]) for i in long])
+        if len(long):  # long sentences may also be cut inside, at every 256th part of a sequence
+            step = max(1, length // 256)
+            extra = np.concatenate([np.arange(edge[i] + step, edge[i + 1], step) for i in long])
             inner = np.r_[inner, extra]
             cost = np.r_[cost, np.full(len(extra), WORD_CUT)]
             o = np.argsort(inner, kind="stable")
