@@ -61,8 +61,13 @@ def confirmed(files: DataFrame, known_exports: DataFrame) -> DataFrame:
         seen = lambda i: F.exists(i["names"], lambda n: F.array_contains(F.col("__known"), F.concat_ws("\x00", i["source"], n)))
         kept = F.transform("imports", lambda i: with_source(i, F.when(i["source"].isNotNull() & seen(i), i["source"])))
         return d.withColumn("imports", kept.cast(f"array<{IMPORT}>")).drop("__known")
-    used = files.select(F.col("path").alias("__path"), F.posexplode("imports").alias("__pos", "i")).select("__path", "__pos", F.col("i.source").alias("source"), F.explode("i.names").alias("export_name"))
-    ok = used.join(known_exports, ["source", "export_name"], "left_semi").groupBy("__path").agg(F.collect_set("__pos").alias("__ok"))
-    d = files.join(ok, F.col("path") == F.col("__path"), "left")
-    kept = F.transform("imports", lambda i, k: with_source(i, F.when(F.coalesce(F.array_contains("__ok", k), F.lit(False)), i["source"])))
-    return d.withColumn("imports", kept.cast(f"array<{IMPORT}>")).drop("__ok", "__path")
+    # One row per import and name, so the files are parsed once; both groupings stand on the one shuffle by path.
+    rest = [c for c in files.columns if c not in ("path", "imports")]
+    rows = files.select("path", *rest, F.posexplode_outer("imports").alias("__pos", "__i")).select("*", F.explode_outer("__i.names").alias("__name"))
+    hit = known_exports.select(F.col("source").alias("__source"), F.col("export_name").alias("__export"), F.lit(True).alias("__hit")).distinct()
+    rows = rows.join(hit, (F.col("__i.source") == F.col("__source")) & (F.col("__name") == F.col("__export")), "left").repartition("path")
+    one = rows.groupBy("path", "__pos").agg(F.bool_or("__hit").alias("__hit"), F.first("__i").alias("__i"), *[F.first(c).alias(c) for c in rest])
+    i = F.col("__i")
+    kept = F.when(i.isNotNull(), F.struct("__pos", with_source(i, F.when(F.coalesce("__hit", F.lit(False)), i["source"])).alias("i")))
+    by_file = one.groupBy("path").agg(F.array_sort(F.collect_list(kept)).alias("imports"), *[F.first(c).alias(c) for c in rest])
+    return by_file.withColumn("imports", F.transform("imports", lambda x: x["i"]).cast(f"array<{IMPORT}>")).select(*files.columns)

@@ -34,10 +34,13 @@ def order_path(key: Column) -> Column:
 
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): one file per order; orders without line items import nothing."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *KEYS).withColumn("code", F.expr(STATEMENT))
+    # Dealt by key to a stated number of partitions: parsing costs far more than these bytes
+    # tell, so they must not be coalesced to a few tasks.
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *KEYS).repartition(n, "l_orderkey").withColumn("code", F.expr(STATEMENT))
     code = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*KEYS, "code"))).alias("lines"))
     body = F.array_join(F.transform("lines", lambda x: F.concat(F.lit(DECOY), x["code"])), "\n")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey").repartition(n, "o_orderkey")
     d = orders.join(code, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return d.select(order_path(F.col("o_orderkey")).alias("path"), F.concat(F.lit(HEAD), F.coalesce(body, F.lit(""))).cast("binary").alias("content"))
 

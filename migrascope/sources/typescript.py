@@ -26,6 +26,12 @@ JSX_STRING = re.compile(r"'[^']*'|\"[^\"]*\"")
 JSX_NAME = re.compile(r"[A-Za-z_$][\w$.:-]*")
 ARROW_GENERIC = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|=\s|extends\b)")
 
+# Plain code in one go: neither TSX, nor code in templates, nor a slash that isn't a comment's.
+PLAIN = re.compile(
+    SPACE.pattern + "|(?P<name>" + NAME.pattern + ")|(?P<string>" + STRING.pattern + r")|(?P<template>`" + TEMPLATE.pattern + "`)|(?P<other>(?:\\d|\\.\\d)" + r"(?:[\w.]|(?<=[eE])[+-])*" + r")|(?P<punct>[^/`'\"])|(?P<stray>['\"])",
+    re.S,
+)
+
 # After these words an operand follows: a slash opens a regular expression, a less-than sign an element.
 OPERAND_NEXT = frozenset("return typeof instanceof in of new delete void throw case do else yield await default extends".split())
 
@@ -66,8 +72,37 @@ def _operand_next(tokens: list[Token]) -> bool:
     return kind == "punct" and text not in (")", "]", "}")
 
 
+def _plain_tokens(text: str) -> list[Token] | None:
+    """The tokens of plain code; None if the text needs the full lexer."""
+    out: list[Token] = []
+    put, at = out.append, 0
+    for m in PLAIN.finditer(text):
+        if m.start() != at:
+            return None
+        at = m.end()
+        kind = m.lastgroup
+        if kind is None or kind == "stray":
+            continue
+        if kind == "template":
+            put(Token("other", "`", at - 1))
+        elif kind == "other":
+            put(Token("other", "0", m.start()))
+        else:
+            put(Token(kind, m[0], m.start()))
+    return out if at == len(text) else None
+
+
 def tokens_of(text: str, tsx: bool = False) -> list[Token]:
     """The significant tokens."""
+    if not tsx and "${" not in text:
+        plain = _plain_tokens(text)
+        if plain is not None:
+            return plain
+    return _all_tokens(text, tsx)
+
+
+def _all_tokens(text: str, tsx: bool) -> list[Token]:
+    """The full lexer."""
     out: list[Token] = []
     # What encloses the current place: "{" code braces, "`" a template's code, "<" an element's
     # tag, ">" an element's children, "x" code inside an element.

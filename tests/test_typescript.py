@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from migrascope.sources.typescript import exports, imports
+from migrascope.sources.typescript import _all_tokens, _plain_tokens, exports, imports
 
 
 def seen(text, tsx=False):
@@ -105,6 +105,13 @@ def test_round_trip(model):
         assert at.startswith("import" if i.kind != "dynamic" else i.path)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([*"aé$_{}()[]<>.,;:'\"`\\/*\n 19eE+-#@=", "//", "/*", "*/", "import ", "'x'", "`t`", "\\u{41}"]), max_size=30).map("".join))
+def test_plain_lexer_agrees(text):
+    fast = _plain_tokens(text) if "${" not in text else None
+    assert fast is None or fast == _all_tokens(text, False)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="import export{}from'\"`$<>/*\\\n (),;aé=", max_size=80), st.booleans())
 def test_never_fails(text, tsx):
