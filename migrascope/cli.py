@@ -23,7 +23,7 @@ SKIPPED = ("node_modules", "dist", ".git")
 def parser() -> argparse.ArgumentParser:
     env = os.environ.get
     p = argparse.ArgumentParser(prog="migrascope", description="Track a migration of TypeScript model imports.")
-    p.add_argument("--path", default=env("CH_MIGRATE_PATH", Config().scan.root), help="root of the sources")
+    p.add_argument("--path", default=env("MIGRASCOPE_PATH", Config().scan.root), help="root of the sources")
     p.add_argument("--shared-path", help="legacy library (default <path>/app/shared)")
     p.add_argument("--shared-2023-path", help="modern library (default <path>/app/shared_2023)")
     p.add_argument("--app-path", help="what is scanned (default <path>/app)")
