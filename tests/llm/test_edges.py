@@ -78,3 +78,16 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
 def test_names():
     names = entry.queries()
     assert "pipeline" in names and [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+
+
+@pytest.mark.parametrize("odd", ["<video-player src=x></video-player>", "<button-group></button-group>", "<title-bar/>", "<object-view a='>'></object-view>", "<svg width='1' />", '<svg a="/>"/>', "<svg/>", "<svg a='>'><path/></svg>", "<math/>"])
+def test_only_raw_elements_go(odd):
+    tree = html.Tree()
+    html.parse(f"<article><p>one</p>{odd}<p>two</p><p>three</p></article>", tree)
+    assert [b for b in tree.block if b is not None] == ["one", "two", "three"]
+
+
+def test_formulas_are_text():
+    tree = html.Tree()
+    html.parse("<article><p>so <math display=inline><mrow><mi>x</mi><mo>=</mo><msup><mn>2</mn></msup></mrow></math> holds</p><p>two</p></article>", tree)
+    assert [b for b in tree.block if b is not None] == ["so x=2 holds", "two"]
