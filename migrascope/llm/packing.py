@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from unicodedata import is_normalized
 from collections.abc import Iterator
 from itertools import chain
 
@@ -59,10 +60,21 @@ WORD = re.compile(r"[^ \t-\r]+")
 
 
 def _words(text: str) -> list[str]:
-    """Blank-separated words, in lower case where that is the tokenizer's own."""
-    if "\u03a3" not in text:  # a last sigma depends on its neighbours in Python alone
-        text = text.lower()
-    return WORD.findall(text) if any(c in text for c in CONTROLS) else text.split()
+    """Blank-separated words, in lower case where that is the tokenizer's own.
+
+    The tokenizer composes marks (NFC) first and lower-cases then, so only a
+    text that is composed before and after may be lower-cased up front; else
+    its ASCII words are, and the tokenizer sees the others as they stand.
+    """
+    low, whole = text, True
+    if text.isascii():
+        low = text.lower()
+    elif "\u03a3" not in text and is_normalized("NFC", text) and is_normalized("NFC", lowered := text.lower()):  # a last sigma depends on its neighbours in Python alone
+        low = lowered
+    else:
+        whole = False
+    words = WORD.findall(low) if any(c in low for c in CONTROLS) else low.split()
+    return words if whole else [w.lower() if w.isascii() else w for w in words]
 
 
 class _Numbers(dict):

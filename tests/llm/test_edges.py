@@ -91,3 +91,15 @@ def test_formulas_are_text():
     tree = html.Tree()
     html.parse("<article><p>so <math display=inline><mrow><mi>x</mi><mo>=</mo><msup><mn>2</mn></msup></mrow></math> holds</p><p>two</p></article>", tree)
     assert [b for b in tree.block if b is not None] == ["so x=2 holds", "two"]
+
+
+def test_tokens_are_the_tokenizer_s_own():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    marks = "J\u030c H\u0331 T\u0308 W\u030a Y\u030a E\u0301 I\u0307 A\u0323\u0302 \u212b \u2126 \u212a \u1112\u1161\u11ab \u0958"
+    texts = ["J\u030c x", marks, marks.lower(), marks.replace(" ", "a. "), "Plain WORDS, then \u03a3 And J\u030c. End", "\u00c9t\u00e9 \u01f0 \u0130 UPPER", "a\x1cB \u00c9\x1dJ\u030c"]
+    own = Tokenizer.from_file(path)
+    got = [ids.tolist() for ids, _ in packing.Encoder(path).encode(texts)]
+    assert got == [own.encode(t, add_special_tokens=False).ids + [packing.END_ID] for t in texts]
