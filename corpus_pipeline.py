@@ -33,7 +33,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens, in the order of the mix."""
-    return packing.digest(common.clean_documents(docs))
+    return packing.digest(common.in_written_order(common.clean_documents(docs)))
 
 
 STAGES = [

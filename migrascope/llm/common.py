@@ -12,6 +12,7 @@ from collections.abc import Callable
 from types import ModuleType
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +90,22 @@ def stored(df: DataFrame, path: str | None = None, partition_by: str | None = No
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_written_order(df: DataFrame) -> DataFrame:
+    """``df``, a written table read again, in the order it was written: part by part, row by row.
+
+    Spark deals a table's files out by size, so partitions of a plain read
+    don't follow the order of the parts.  A frame that isn't a table read from
+    files has no such order and stays as it is.
+    """
+    try:
+        d = df.select(*df.columns, F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        return df
+    number = lambda p: F.coalesce(F.regexp_extract("__file", p, 1).try_cast("bigint"), F.lit(-1))
+    order = (number(r"^part-(\d+)"), number(r"-c(\d+)\."), F.col("__file"), F.col("__row"))
+    return d.repartitionByRange(hash_parts(df.sparkSession), *order).sortWithinPartitions(*order).select(*df.columns)
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a side of ``rows`` known rows if that is little; else Spark's own choice of join."""
     return F.broadcast(df) if rows <= limit else df

@@ -103,3 +103,15 @@ def test_tokens_are_the_tokenizer_s_own():
     own = Tokenizer.from_file(path)
     got = [ids.tolist() for ids, _ in packing.Encoder(path).encode(texts)]
     assert got == [own.encode(t, add_special_tokens=False).ids + [packing.END_ID] for t in texts]
+
+
+def test_sequences_follow_the_mix(spark, tmp_path):
+    # parts of very different sizes, which a plain read deals out by size
+    rows = [(i, " ".join(["word"] * (4000 if i % 7 == 3 else 20)), "en", "s", 1) for i in range(400)]
+    d = spark.createDataFrame(rows, DOCS).repartitionByRange(12, "doc_id").sortWithinPartitions("doc_id")
+    d.write.option("maxRecordsPerFile", 9).parquet(str(tmp_path / "mix"))
+    docs = spark.read.parquet(str(tmp_path / "mix"))
+    got = corpus_pipeline.packed(spark, docs, "").orderBy("sequence_id", "offset").collect()
+    assert len({r.sequence_id >> 36 for r in got}) > 1
+    seen = list(dict.fromkeys(r.doc_id for r in got))
+    assert seen == list(range(400))
