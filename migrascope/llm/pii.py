@@ -56,7 +56,7 @@ def luhn(digits: Column) -> Column:
 def _seen(text: Column) -> Column:
     digits = lambda s: _digits(s["text"])
     return F.concat(
-        S.found(text, EMAIL, "email", 0, "@[A-Za-z0-9]"),
+        S.found(text, EMAIL, "email", 0, "@[A-Za-z0-9-]"),
         F.filter(S.found(text, IP, "ip", 1), lambda s: s["text"].rlike(IP_PARTS)),
         F.filter(S.found(text, CARD, "card", 2), lambda s: F.char_length(digits(s)).between(12, 19) & luhn(digits(s))),
         F.filter(S.found(text, PHONE, "phone", 3), lambda s: F.char_length(digits(s)).between(9, 15)),

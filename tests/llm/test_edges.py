@@ -115,3 +115,9 @@ def test_sequences_follow_the_mix(spark, tmp_path):
     assert len({r.sequence_id >> 36 for r in got}) > 1
     seen = list(dict.fromkeys(r.doc_id for r in got))
     assert seen == list(range(400))
+
+
+def test_email_with_a_hyphen_behind_the_at(spark):
+    d = spark.createDataFrame([(1, "mail foo@-bar.com now", None, None, 21)], DOCS)
+    got = pii.digest(d).collect()[0]
+    assert (got.n_email, got.spans) == (1, "email:5:17")
