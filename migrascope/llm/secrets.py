@@ -2,7 +2,8 @@
 
 Everything is a narrow projection over each whole text: no shuffle, no
 Python.  Null text counts as empty.  Repeated rows are scanned alike, each on
-its own; extra columns play no part.  Ties in a start are ordered by kind.
+its own; extra columns play no part.  Ties in a start are ordered by kind.  Of a
+run that base spans cover in part, the rest is scored by itself.
 """
 
 from __future__ import annotations
@@ -69,6 +70,23 @@ def window_entropy(s: Column, size: int) -> Column:
     return F.get(F.transform(F.array(codes), over), F.lit(0))
 
 
+def outside(run: Column, base: Column) -> Column:
+    """What of ``run`` lies outside the spans ``base``, as an array of spans."""
+    zero = F.struct(run["start"].alias("at"), S.none().alias("out"))
+
+    def piece(a: Column, b: Column) -> Column:
+        text = F.substring(run["text"], (a - run["start"] + 1).cast("int"), (b - a).cast("int"))
+        return F.array(F.struct(a.alias("start"), run["ord"].alias("ord"), b.alias("end"), run["kind"].alias("kind"), text.alias("text")))
+
+    def step(acc: Column, b: Column) -> Column:
+        lead = F.when(b["start"] > acc["at"], piece(acc["at"], b["start"])).otherwise(S.none())
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], lead).alias("out"))
+
+    met = F.array_sort(F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"])))
+    rest = lambda acc: F.concat(acc["out"], F.when(acc["at"] < run["end"], piece(acc["at"], run["end"])).otherwise(S.none()))
+    return F.aggregate(met, zero, step, rest)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (start, ord, end, kind, text) in code points."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -91,10 +109,12 @@ def scan(docs: DataFrame) -> DataFrame:
             out = F.when(s["text"].rlike(shape), window_entropy(s["text"], size) >= bits).otherwise(out)
         return out
 
-    runs = F.when(text.rlike(CANDIDATE), F.filter(S.found(text, CANDIDATE, "entropy", 3), is_candidate)).otherwise(S.none())
+    runs = F.when(text.rlike(CANDIDATE), S.found(text, CANDIDATE, "entropy", 3)).otherwise(S.none())
     out = docs.withColumn("base", base).withColumn("runs", runs)
-    free = F.filter("runs", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    out = out.withColumn("runs", free)
+    # what base spans leave of a run is a candidate of its own if it still has the shape of one
+    left = F.filter(F.flatten(F.transform("runs", lambda s: outside(s, F.col("base")))), lambda s: s["text"].rlike(f"^{CANDIDATE}$"))
+    free = F.when((F.size("runs") > 0) & (F.size("base") > 0), left).otherwise(F.col("runs"))
+    out = out.withColumn("runs", F.filter(free, is_candidate))
     more = F.when(F.size("runs") > 0, F.filter("runs", random_enough)).otherwise(S.none())
     return out.withColumn("spans", F.concat("base", more)).drop("runs")
 
