@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
@@ -18,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Below this many rows a side with one bounded row per key may be broadcast.
 BROADCAST_ROWS = 20_000
+#: A key is hot if it has over one in HOT_SHARE of a table's rows, and at least HOT_LEAST.
+HOT_SHARE, HOT_LEAST = 1000, 2000
 
 #: ``[^\x20\x09-\x0D]+``: the words of most operators.  ``bytes.split()`` in
 #: Python splits on exactly the same six characters.
@@ -32,32 +33,53 @@ ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Tables this session has written and not yet removed, oldest first.
+_live: list[str] = []
+
+
 def workspace(spark: SparkSession) -> str:
     """A fresh folder every executor can reach.
 
-    It lies in ``spark.checkpoint.dir``; only where that is unset (local
-    tests) in the warehouse, from which it is removed when Python ends.
+    It lies in ``spark.checkpoint.dir``; only where that is unset in the
+    warehouse, and there only if all tasks run on this machine, or the
+    warehouse lies on shared storage.  What is written there goes when it is
+    released, or when the session's JVM ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    own = not base
-    if own:
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not base:
         base = spark.conf.get("spark.sql.warehouse.dir") + "/work"
+        if not context.master.startswith("local") and (base.startswith("file:") or "://" not in base):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    if own:
-        atexit.register(_drop_if_alive, spark, path)
+    _live.append(path)
     return path
 
 
-def _drop_if_alive(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the JVM may be gone by then
-        drop(spark, path)
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def drop(spark: SparkSession, path: str) -> None:
     """Remove a written table."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+    if path in _live:
+        _live.remove(path)
+
+
+def mark() -> int:
+    """What ``release`` counts from."""
+    return len(_live)
+
+
+def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Remove the tables written after ``since``, apart from those that ``keep`` reads directly."""
+    held_on = {getattr(d, "_stored_at", None) for d in keep}
+    for path in _live[since:]:
+        if path not in held_on:
+            drop(spark, path)
 
 
 @contextlib.contextmanager
@@ -87,7 +109,11 @@ def stored(df: DataFrame, path: str | None = None, partition_by: str | None = No
     with settings(spark, **{FREE: "true", ARROW: str(ARROW_ROWS)}):
         w = df.write.mode("overwrite")
         (w.partitionBy(partition_by) if partition_by else w).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, p = _hadoop(spark, path)
+    fs.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
 def in_written_order(df: DataFrame) -> DataFrame:
@@ -107,10 +133,38 @@ def in_written_order(df: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a side of ``rows`` known rows if that is little; else Spark's own choice of join."""
+    """Broadcast hint for a side of ``rows`` known rows of bounded size if that is little; else Spark's own choice of join."""
     return F.broadcast(df) if rows <= limit else df
 
 
+def bounded(c: Column) -> Column:
+    """A string as a key of at most 100 characters: itself, or the SHA-256 of a longer one."""
+    return F.when(F.char_length(c) <= 100, c).otherwise(F.concat(F.lit("\x00"), F.sha2(c, 256)))
+
+
+class Hot:
+    """Joins of a table with sides that hold few bounded rows per key, whatever share of the table one key has.
+
+    A key with over one in HOT_SHARE of the table's rows is hot, so there are
+    fewer than HOT_SHARE of them: their rows of the side are broadcast, and
+    only the other keys' rows are shuffled.  A side of at most BROADCAST_ROWS
+    rows is broadcast as a whole.
+    """
+
+    def __init__(self, rows: DataFrame, key: str, n_side: int | None = None):
+        self.key, self.all, self.hot = key, n_side is not None and n_side <= BROADCAST_ROWS, None
+        if not self.all:
+            least = max(HOT_LEAST, rows.count() // HOT_SHARE)
+            self.hot = stored(rows.groupBy(key).count().where(F.col("count") > least).select(key))
+
+    def join(self, rows: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
+        if self.all:
+            return rows.join(F.broadcast(side), self.key, how)
+        hot = F.broadcast(self.hot)
+        some = rows.join(hot, self.key, "left_semi").join(F.broadcast(side.join(hot, self.key, "left_semi")), self.key, how)
+        return some.unionByName(rows.join(hot, self.key, "left_anti").join(side, self.key, how))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; every other character stays."""
     return F.translate(c, UPPER, LOWER)

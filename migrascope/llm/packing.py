@@ -59,22 +59,22 @@ CONTROLS = "\x1c\x1d\x1e\x1f"
 WORD = re.compile(r"[^ \t-\r]+")
 
 
-def _words(text: str) -> list[str]:
+def _words(text: str, added: tuple[str, ...]) -> list[str]:
     """Blank-separated words, in lower case where that is the tokenizer's own.
 
-    The tokenizer composes marks (NFC) first and lower-cases then, so only a
-    text that is composed before and after may be lower-cased up front; else
-    its ASCII words are, and the tokenizer sees the others as they stand.
+    The tokenizer takes out its added tokens as they are spelt, composes marks
+    (NFC) and lower-cases then.  So only a text without added tokens that is
+    composed before and after may be lower-cased up front; else its ASCII
+    words are, and the others are brought into normal form when first seen.
     """
-    low, whole = text, True
-    if text.isascii():
-        low = text.lower()
-    elif "\u03a3" not in text and is_normalized("NFC", text) and is_normalized("NFC", lowered := text.lower()):  # a last sigma depends on its neighbours in Python alone
-        low = lowered
-    else:
-        whole = False
+    low = text.lower()
+    whole = not any(a in low for a in added)
+    if whole and not text.isascii():  # a last sigma depends on its neighbours in Python alone
+        whole = "\u03a3" not in text and is_normalized("NFC", text) and is_normalized("NFC", low)
+    if not whole:
+        low = text
     words = WORD.findall(low) if any(c in low for c in CONTROLS) else low.split()
-    return words if whole else [w.lower() if w.isascii() else w for w in words]
+    return words if whole else [w.lower() if w.isascii() and not any(a in w.lower() for a in added) else w for w in words]
 
 
 class _Numbers(dict):
@@ -95,17 +95,20 @@ class Encoder:
 
     The tokenizer drops white space, never joins across it, and parts letters
     from marks.  So a text's ids are those of its blank-separated words in
-    turn, and a word of letters with marks behind it is two parts.
+    turn, and a word of letters with marks behind it is two parts; a word that
+    holds an added token is one, encoded as it stands.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        # The same for words of a-z alone, which need neither a normal form nor the tokenizer's own parting.
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Sequence([])
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        # The same for what is in normal form, and for letters alone, which need no parting either.
+        self.normal, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.normal, self.plain):
+            t.normalizer = normalizers.Sequence([])
+            t.encode_special_tokens = True  # no word with an added token as it is spelt comes here
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -120,16 +123,21 @@ class Encoder:
         self.stop = np.zeros(1, bool)  # the part ends a sentence
         self.flat = np.zeros(0, np.uint32)
 
-    def _store(self, parts: list[str]) -> None:
-        """Keep the ids of new parts; letters are encoded as one text, whose words end at word-end tokens."""
-        simple = np.array([p.isascii() and p.isalpha() for p in parts])
-        letters = np.array([p.isalpha() for p in parts]) & ~simple
+    def _store(self, parts: list[str | tuple[str]]) -> None:
+        """Keep the ids of new parts; letters are encoded as one text, whose words end at word-end tokens.
+
+        A part is in normal form, or a 1-tuple of a word with added tokens as it is spelt.
+        """
+        spelt = np.array([isinstance(p, tuple) for p in parts])
+        texts = [p[0] if isinstance(p, tuple) else p for p in parts]
+        simple = np.array([p.isascii() and p.isalpha() for p in texts])
+        letters = np.array([p.isalpha() for p in texts]) & ~simple
         size = np.zeros(len(parts), np.int64)
         found, order = [], []
-        for tokenizer, kind in ((self.plain, simple), (self.tokenizer, letters)):
+        for tokenizer, kind in ((self.plain, simple), (self.normal, letters)):
             if kind.any():
                 at = np.flatnonzero(kind)
-                ids = np.array(tokenizer.encode_batch_fast([" ".join([parts[i] for i in at.tolist()])], add_special_tokens=False)[0].ids, np.uint32)
+                ids = np.array(tokenizer.encode_batch_fast([" ".join([texts[i] for i in at.tolist()])], add_special_tokens=False)[0].ids, np.uint32)
                 ends = np.flatnonzero(self.last[ids]) + 1
                 if len(ends) == len(at):  # else some letter is parted after all, and each is encoded alone
                     size[at] = np.diff(ends, prepend=0)
@@ -138,47 +146,49 @@ class Encoder:
         done = np.zeros(len(parts), bool)
         for at in order:
             done[at] = True
-        at = np.flatnonzero(~done)
-        rest = self.tokenizer.encode_batch_fast([parts[i] for i in at.tolist()], add_special_tokens=False)
-        size[at] = [len(e.ids) for e in rest]
-        found.append(np.array([i for e in rest for i in e.ids], np.uint32))
-        order = np.concatenate([*order, at])
+        for tokenizer, kind in ((self.normal, ~done & ~spelt), (self.tokenizer, spelt)):
+            at = np.flatnonzero(kind)
+            rest = tokenizer.encode_batch_fast([texts[i] for i in at.tolist()], add_special_tokens=False)
+            size[at] = [len(e.ids) for e in rest]
+            found.append(np.array([i for e in rest for i in e.ids], np.uint32))
+            order.append(at)
+        order = np.concatenate(order)
         start = np.empty(len(parts), np.int64)
         start[order] = len(self.flat) + np.cumsum(size[order]) - size[order]
         self.start, self.size = np.r_[self.start, start], np.r_[self.size, size]
-        self.stop = np.r_[self.stop, [p[-1] in STOPS for p in parts]]
+        self.stop = np.r_[self.stop, [p[-1] in STOPS for p in texts]]
         self.flat = np.concatenate([self.flat, *found])
 
+    def _parts(self, w: str) -> tuple[str | tuple[str], str]:
+        """A word as the tokenizer takes it, and the marks behind it."""
+        if any(a in w for a in self.added):
+            return (w,), ""
+        if not w.isascii() or w != w.lower():
+            w = self.tokenizer.normalizer.normalize_str(w)
+        if not w.isalpha():
+            core = w.rstrip(MARKS)
+            if core.isalpha():
+                return core, w[len(core) :]
+        return w, ""
+
     def _learn(self, words: list[str]) -> None:
         part, fresh = self.part, []
         known = part.get
         pairs: list[int] = []
         for w in words:
-            if w.isalpha():
-                core, marks = w, 0
-            else:
-                core = w.rstrip(MARKS)
-                if core.isalpha():
-                    tail = w[len(core) :]
-                    marks = known(tail)
-                    if marks is None:
-                        marks = part[tail] = len(part)
-                        fresh.append(tail)
-                else:
-                    core, marks = w, 0
-            n = known(core)
-            if n is None:
-                n = part[core] = len(part)
-                fresh.append(core)
-            pairs.append(n)
-            pairs.append(marks)
+            for p in self._parts(w):
+                n = known(p)
+                if n is None:
+                    n = part[p] = len(part)
+                    fresh.append(p)
+                pairs.append(n)
         self.of_word = np.concatenate([self.of_word, np.array(pairs, np.int32).reshape(-1, 2)])
         if fresh:
             self._store(fresh)
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per text its ids, the end id last, and the places after which a sentence ends."""
-        split = [_words(t) for t in texts]
+        split = [_words(t, self.added) for t in texts]
         if len(self.word) > REMEMBER:
             self._reset()
         flat_words = list(chain.from_iterable(split))

@@ -373,9 +373,8 @@ def test_packing(spark, docs, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
-    tok.encode_special_tokens = True
-    odd = ["", "a\x1cb", "naïve it's 12.5% don’t. I'LL a.b,c!? É ΣΑΣ Σ. İx é ²³ <|endoftext|>", "x" * 30000, "ἈΣ. oΣ,", "ﬁ\xa0ﬂ… ok?!"]
+    tok = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))  # untouched: the contract sets no flag
+    odd = ["", "Hello World \u03a3", "hello <|endoftext|> world <|ENDOFTEXT|> a<|startoftext|>B.", "a\x1cb", "naïve it's 12.5% don’t. I'LL a.b,c!? É ΣΑΣ Σ. İx é ²³ <|endoftext|>", "x" * 30000, "ἈΣ. oΣ,", "ﬁ\xa0ﬂ… ok?!"]
     every = {**{i + 10_000: t for i, t in enumerate(odd)}, **texts}
     d = spark.createDataFrame(list(every.items()), "doc_id bigint, text string")
     ids = {i: np.array(tok.encode(t, add_special_tokens=False).ids + [2], "<u4") for i, t in every.items()}
@@ -391,6 +390,25 @@ def test_packing(spark, docs, texts):
         assert sum(n for _, n in x) == full if full else sum(n for _, n in x) <= 4096
 
 
+ODD = [*"aAbZ .,!?'s\n\t\x1c\x85\xa0\u03a3\u03c3\u03c2\u0130\u0131\u00e9\u00c9\u0301\u030cJ<|>", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "\ufb01", "\u212a", "\ud55c", "\u0661", "\u00b2", "\U0001d400", "\u1e9e"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.text(st.characters(exclude_categories=["Cs"]), max_size=12), st.lists(st.sampled_from(ODD), max_size=25).map("".join)), max_size=6))
+def test_ids_of_any_text(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    if not TOKENIZERS:
+        TOKENIZERS.extend((Tokenizer.from_file(path), packing.Encoder(path)))
+    own, encoder = TOKENIZERS
+    assert [ids.tolist() for ids, _ in encoder.encode(texts)] == [own.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+
+TOKENIZERS = []
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 30), st.lists(st.integers(1, 29), max_size=6)), min_size=1, max_size=8))
 def test_cuts_are_the_best(model):
