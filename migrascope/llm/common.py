@@ -137,9 +137,17 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``c``, which is computed once, also inside other functions of higher order.
+
+    It is the end of a fold over nothing; unlike ``transform`` that copies no nested array.
+    """
+    return F.aggregate(F.array().cast("array<int>"), c, lambda kept, _: kept, use)
+
+
 def bounded(c: Column) -> Column:
     """A string as a key of at most 100 characters: itself, or the SHA-256 of a longer one."""
-    return F.when(F.char_length(c) <= 100, c).otherwise(F.concat(F.lit("\x00"), F.sha2(c, 256)))
+    return bound(c, lambda x: F.when(F.char_length(x) <= 100, x).otherwise(F.concat(F.lit("\x00"), F.sha2(x, 256))))
 
 
 class Hot:

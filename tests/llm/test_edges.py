@@ -132,3 +132,57 @@ def test_secrets_beside_base_spans(spark):
     assert got[1] == "entropy:0:38,hex:38:62,entropy:62:100"
     assert got[2:] == ["access:0:20", "assign:0:43,access:44:64"]
     assert [key in r.text for r in secrets.redact(d).collect()] == [False] * 4
+
+
+def test_contexts_of_any_reach(spark):
+    """Long words and wide blanks before an entity: the pattern is the two words, however far they reach."""
+    import re
+    from random import Random
+
+    from pyspark.sql import functions as F
+
+    r = Random(3)
+    rows = []
+    for _ in range(200):
+        t = "".join(r.choice(["ab", "C1", "é", "x" * r.choice([5, 60, 127, 128, 5000]), " ", "\n\t", " " * r.choice([1, 128, 300])]) for _ in range(r.randint(0, 12)))
+        rows.append((t, r.randint(0, len(t))))
+    lead = F.right(F.substring(F.col("t"), F.lit(1), F.col("s").cast("int")), F.lit(pii.REACH))
+    for x in spark.createDataFrame(rows, "t string, s bigint").select("t", "s", pii.context(F.col("t"), F.col("s"), lead).alias("got")).collect():
+        m = re.search(r"(?:^|(?<=[\x20\x09-\x0D]))([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", x.t[: x.s])
+        assert x.got == (re.sub("[0-9]", "0", re.sub(r"[\x20\x09-\x0D]+", " ", m[1].lower())) if m else "")
+
+
+def test_spans_apart(spark):
+    from random import Random
+
+    from pyspark.sql import functions as F
+
+    from migrascope.llm import spans
+
+    r = Random(3)
+
+    def some(n, over):
+        out, at = [], 0
+        for _ in range(n):
+            a = at + r.randint(0, 9)
+            e = a + r.randint(1, 9)
+            out.append((a, 4, e, "c", "x"))
+            at = a + r.randint(0, 3) if over else e
+        return out
+
+    rows = [(some(r.choice([0, 1, 3, 400]), False), some(r.choice([0, 1, 5, 500]), True)) for _ in range(40)]
+    for x in spark.createDataFrame(rows, f"a {spans.SPAN}, b {spans.SPAN}").select("a", "b", spans.apart(F.col("a"), F.col("b")).alias("got")).collect():
+        assert x.got == [c for c in x.a if not any(b["start"] < c["end"] and c["start"] < b["end"] for b in x.b)]
+
+
+def test_hot_keys_join_alike(spark, monkeypatch):
+    """One pattern with most instances, and joins by broadcast of the hot keys alone: the plain join's rows."""
+    from migrascope.llm import common
+
+    monkeypatch.setattr(common, "HOT_LEAST", 20)
+    rows = [("hot" if i % 3 else f"k{i % 50}", i) for i in range(900)]
+    left, side = spark.createDataFrame(rows, "key string, n int"), spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(60)]], "key string, v int")
+    hot = common.Hot(left, "key")
+    assert 1 <= hot.hot.count() <= 50
+    for how in ("inner", "left"):
+        assert sorted(map(tuple, hot.join(left, side, how).collect())) == sorted(map(tuple, left.join(side, "key", how).collect()))
