@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html import unescape
+from itertools import islice
 from random import Random
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import tidy
 
 #: Labelled pages the model is fitted to, and steps of the fit.
-PAGES, STEPS = 360, 160
+PAGES, STEPS = 800, 160
 #: Characters of html whose trees are solved together.
 TOGETHER = 4_000_000
 
@@ -52,7 +53,9 @@ CLOSES = {
     "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th"),
 }
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "tbody": ("table",), "tfoot": ("table",), "option": ("select",)}
-TAGS = "html body head article main section div p h1 h2 h3 h4 ul ol li dl dt dd table tr td th nav header footer aside form fieldset figure figcaption blockquote pre address details summary dialog center".split()
+TAGS = "html body head article main section div p h1 h2 h3 h4 ul ol li dl dt dd table tr td th nav header footer aside form fieldset figure figcaption blockquote pre address details summary dialog center own-header".split()
+#: Elements that show where the main part of a page is, features of what holds one.
+SIGNS = ("article", "main", "h1")
 # Parts of class, id and role names and what they hint at.
 HINTS = (
     ("menu", r"menu|nav|breadcrumb|toolbar|tabs|pagination|pager|toc"),
@@ -65,22 +68,28 @@ HINTS = (
     ("search", r"search|form"),
     ("body", r"article|content|post|entry|main|story|body|text|prose|page"),
 )
+# Quotes hold a > only behind an equals sign; elsewhere they are part of a name.
+ATTRIBUTES = r"(?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+"
 TOKEN = re.compile(
     # a raw name ends at a blank, / or >, else it begins a custom element's; a self-closed svg is empty
-    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z|(?P<text>[^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])" + ATTRIBUTES + r"(?<=/)>|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])" + ATTRIBUTES + r">.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>" + ATTRIBUTES + r")>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# Names of a layout with or without some part don't name the part.
+LAYOUT = re.compile(r"(?<![a-z])(?:no|non|not|has|with|without)[-_][\w-]+", re.I)
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 HINT = [(name, re.compile(p, re.I)) for name, p in HINTS]
 SENTENCE = re.compile(r"[.!?…][\"'»”)]*(?:\s|$)")
 
 FEATURES = [
-    "element", *[f"tag:{t}" for t in [*TAGS, "other"]], *[f"hint:{n}" for n, _ in HINTS], "hidden",
+    "none", "element", *[f"tag:{t}" for t in [*TAGS, "other"]], *[f"hint:{n}" for n, _ in HINTS], *[f"held:{n}" for n, _ in HINTS], *[f"holds:{t}" for t in SIGNS], "hidden",
     "block", *[f"in:{t}" for t in [*TAGS, "other"]], *[f"chars:{i}" for i in range(5)], *[f"links:{i}" for i in range(4)], *[f"sentences:{i}" for i in range(3)], "mark", "root",
 ]
 NUMBER = {f: i for i, f in enumerate(FEATURES)}
 ELEMENT, BLOCK, HIDE, MARK = (NUMBER[f] for f in ("element", "block", "hidden", "mark"))
+FIRST_HINT = NUMBER[f"hint:{HINTS[0][0]}"]
+HOLDS = {t: NUMBER[f"holds:{t}"] for t in SIGNS}
 OF_TAG = {t: NUMBER[f"tag:{t}"] for t in TAGS}
 IN_TAG = {t: NUMBER[f"in:{t}"] for t in TAGS}
 
@@ -108,7 +117,7 @@ class Tree:
     def hints(self, rest: str) -> list[int]:
         got = self.names.get(rest)
         if got is None:
-            said = " ".join(a or b or c for a, b, c in NAMES.findall(rest))
+            said = LAYOUT.sub(" ", " ".join(a or b or c for a, b, c in NAMES.findall(rest)))
             got = [NUMBER[f"hint:{n}"] for n, p in HINT if p.search(said)] if said else []
             if HIDDEN.search(rest):
                 got.append(HIDE)
@@ -120,10 +129,10 @@ class Tree:
 def _block_features(tag: str, text: str, linked: int) -> list[int]:
     n = len(text)
     share = linked / n
-    ends = len(SENTENCE.findall(text)) if n < 20_000 else 9
+    ends = sum(1 for _ in islice(SENTENCE.finditer(text), 2))
     f = [
         BLOCK, IN_TAG.get(tag, NUMBER["in:other"]), NUMBER["chars:0"] + (n > 15) + (n > 50) + (n > 120) + (n > 300),
-        NUMBER["links:0"] + (share > 0) + (share > 0.4) + (share > 0.8), NUMBER["sentences:0"] + min(ends, 2),
+        NUMBER["links:0"] + (share > 0) + (share > 0.4) + (share > 0.8), NUMBER["sentences:0"] + ends,
     ]
     return f + [MARK] if "©" in text or "®" in text else f
 
@@ -132,6 +141,7 @@ def parse(html: str, tree: Tree) -> None:
     """Add a page to ``tree``."""
     root = tree.add(-1, [NUMBER["root"]])
     stack: list[tuple[str, int]] = [("", root)]
+    holds: dict[int, set[str]] = {}  # signs in each element
     parts: list[str] = []
     linked = in_link = 0
 
@@ -170,7 +180,7 @@ def parse(html: str, tree: Tree) -> None:
         in_link = 0
         if m["end"]:
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
+                if stack[i][0] == tag or (tag == "header" and stack[i][0] == "own-header"):
                     del stack[i:]
                     break
             continue
@@ -188,12 +198,25 @@ def parse(html: str, tree: Tree) -> None:
                     del stack[i:]
                 elif stack[i][0] in SCOPE[tag]:
                     break
+        if tag in SIGNS:
+            for _, node in reversed(stack[1:]):
+                if tag in (of := holds.setdefault(node, set())):
+                    break
+                of.add(tag)
+        elif tag == "header" and any(t == "article" for t, _ in stack):
+            tag = "own-header"
         rest = m["rest"]
         feats = [ELEMENT, OF_TAG.get(tag, NUMBER["tag:other"])]
         if rest and not rest.isspace():
             feats += tree.hints(rest)
-        stack.append((tag, tree.add(stack[-1][1], feats)))
+        stack.append((tag, tree.add(stack[-1][1], [*feats, *[0] * len(SIGNS)])))
     flush()
+    for node, signs in holds.items():  # names say less of an element that holds an article
+        lo = tree.first[node]
+        hi = tree.first[node + 1] if node + 1 < len(tree.first) else len(tree.feats)
+        if signs != {"h1"}:
+            tree.feats[lo : hi - len(SIGNS)] = [f + len(HINTS) if FIRST_HINT <= f < FIRST_HINT + len(HINTS) else f for f in tree.feats[lo : hi - len(SIGNS)]]
+        tree.feats[hi - len(SIGNS) : hi] = [HOLDS[t] if t in signs else 0 for t in SIGNS]
 
 
 @dataclass
@@ -266,6 +289,7 @@ def fit(pages: list[tuple[str, set[str]]], steps: int = STEPS) -> Model:
         g_p = seen.copy()
         for k in (0, 1):
             g_p[k] -= both[child[is_block[child] == k]].sum(axis=0)
+        g_w[0] = 0  # what fills empty places says nothing
         g = np.r_[g_w, g_p.ravel()] / len(pages) - 0.002 * x
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x = x + 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -304,7 +328,7 @@ def labelled_page(r: Random) -> tuple[str, set[str]]:
         return r.choice([f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<div>{text}</div>"])
 
     menu = lambda: r.choice([f"<nav><ul>{links(r.randint(2, 8))}</ul></nav>", box(["menu", "navbar", "main-nav", "breadcrumbs"], f"<ul>{links(r.randint(2, 8))}</ul>", ("div", "ul")), f'<div role="navigation">{links(4, "span")}</div>'])
-    advert = lambda: box(["ad", "ads", "advert", "ad-slot", "sponsored", "promo-box"], r.choice([words(r.randint(2, 14)), prose(r.randint(4, 40)), p(prose(r.randint(4, 30)))]))
+    advert = lambda: box(["ad", "ads", "advert", "ad-slot", "sponsored", "promo-box"], r.choice([words(r.randint(2, 14)), prose(r.randint(4, 40)), p(prose(r.randint(4, 30))), f"<h{r.choice('1123')}>{words(3)}</h2>" + p(prose(r.randint(4, 30)))]))
     notice = lambda: box(["cookie-notice", "cookie-banner", "consent", "notice", "newsletter", "popup", "alert"], p(prose(r.randint(5, 40))) + r.choice(["", "<button>ok</button>", "<a href='#'>more</a>"]))
     form = lambda: f"<form{r.choice(['', ' class=search', ' id=login'])}>{r.choice(['', '<label>' + words(2) + '</label>', p(words(r.randint(2, 9)))])}<input name=q>{r.choice([words(2), ''])}</form>"
     side = lambda: box(["sidebar", "side", "widget", "related", "recommended", "popular"], f"<h3>{words(2)}</h3>" + r.choice([f"<ul>{links(5)}</ul>", p(prose(r.randint(5, 40)))]), ("aside", "aside", "div", "section"))
@@ -315,13 +339,17 @@ def labelled_page(r: Random) -> tuple[str, set[str]]:
     head = lambda: r.choice([f"<header>{r.choice(['', '<h1>' + words(2) + '</h1>', words(2), p(prose(6))])}{menu()}</header>", box(["header", "masthead", "topbar"], words(3), ("div",)), menu()])
 
     body = []
-    if r.random() < 0.85:
-        body.append(f"<h1>{mine(words(r.randint(1, 12)) + r.choice(['', '', '.']))}</h1>")
+    if r.random() < 0.7:
+        title = f"<h1>{mine(words(r.randint(1, 12)) + r.choice(['', '', '.']))}</h1>"
+        own = r.random() < 0.25  # an article's own header
+        body.append(f"<header{r.choice(['', ' class=entry-header'])}>{title}{p(mine(prose(12))) if r.random() < 0.3 else ''}</header>" if own else title)
+    else:
+        own = False
     for _ in range(r.choice([1, 1, 2, 3, 4, 6, 9])):
         k = r.random()
         if k < 0.68:
             text = mine(prose(r.choice([1, 2, 3, 8, 20, 60, 120])))
-            body.append(r.choice([f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>", f"<div>{text}</div>", f'<p>{text[:5]}<a href="/x">{text[5:12]}</a>{text[12:]}</p>']))
+            body.append(r.choice([f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f'<p title="5" tall">{text}', f"<p><b>{text}<br>", f"<div>{text}</div>", f'<p>{text[:5]}<a href="/x">{text[5:12]}</a>{text[12:]}</p>']))
         elif k < 0.76:
             body.append(f"<h{r.choice('23')}>{mine(words(r.randint(1, 8)))}</h{r.choice('23')}>")
         elif k < 0.84:
@@ -338,7 +366,7 @@ def labelled_page(r: Random) -> tuple[str, set[str]]:
         body.append(r.choice([share, talk, foot])())
     inner = "".join(body)
     wrap = r.random()
-    if wrap < 0.5:
+    if own or wrap < 0.5:
         main = f"<article{r.choice(['', '', ' class=post', ' id=main'])}>{inner}</article>"
     elif wrap < 0.65:
         main = f"<main>{inner}</main>"
@@ -350,6 +378,9 @@ def labelled_page(r: Random) -> tuple[str, set[str]]:
         main = f"<div{r.choice(['', ' class=wrapper', ' id=page', ' class=container'])}>{main}{r.choice([side, talk, str])()}</div>"
     if r.random() < 0.2:
         main = f"<main>{main}</main>"
+    if r.random() < 0.35:  # outer names that speak of other parts than the one they hold
+        odd = [r.choice(["has", "with", "no", "two", "layout"]), r.choice(["sidebar", "ads", "comments", "header", "footer", "sponsored", "promo", "newsletter", "share", "search", "menu", "cookie", "related", "paywall", "comment"]), r.choice(["layout", "research", "policy", "column", "page", "article", "theme", "open", "desk"])]
+        main = f"<{(t := r.choice(['div', 'div', 'section']))} class=\"{r.choice(['-', ' ', '-']).join(odd[r.randint(0, 1):])}\">{main}</{t}>"
     before = "".join(r.choice([menu, advert, notice, form, side, str])() for _ in range(r.randint(0, 3)))
     after = "".join(r.choice([talk, side, advert, notice, share, str, form])() for _ in range(r.randint(0, 3)))
     shown = f"<html><head><title>{words(4)}</title><style>p{{}}</style><script>var a='<p>';</script></head><body>{head() if r.random() < 0.8 else ''}{before}{main}{after}{foot() if r.random() < 0.8 else ''}</body></html>"

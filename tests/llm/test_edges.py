@@ -186,3 +186,27 @@ def test_hot_keys_join_alike(spark, monkeypatch):
     assert 1 <= hot.hot.count() <= 50
     for how in ("inner", "left"):
         assert sorted(map(tuple, hot.join(left, side, how).collect())) == sorted(map(tuple, left.join(side, "key", how).collect()))
+
+
+PROSE = "The committee met on Tuesday and decided to postpone the vote until the spring session begins. Members said more time was needed."
+
+
+@pytest.mark.parametrize("framed", [False, True])
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><header><h1>Dispute is settled</h1></header><p>{PROSE}</p><p>{PROSE}</p></article>", ["Dispute is settled", PROSE, PROSE]),
+        (f"<div class='sponsored-research'><article><p>{PROSE}</p><p>{PROSE}</p></article></div>", [PROSE, PROSE]),
+        (f"<div class='comments-policy-article'><p>{PROSE}</p><p>{PROSE}</p></div>", [PROSE, PROSE]),
+        (f"<div class='no-comments'><p>{PROSE}</p><p>{PROSE}</p></div>", [PROSE, PROSE]),
+        (f"<div class='has-sidebar'><article><p>{PROSE}</p></article><aside class=sidebar><h3>Related</h3><p>{PROSE}</p></aside></div>", [PROSE]),
+        (f"<article><p title=\"5\" tall\">Odd {PROSE}</p><p>{PROSE}</p></article>", [f"Odd {PROSE}", PROSE]),
+        (f"<article><h1>Head</h1><p>{PROSE}</p></article><section class=comments><h3>Comments</h3><article class=comment><header>Bob</header><p>{PROSE}</p></article></section>", ["Head", PROSE]),
+        (f"<div class=ad><p>{PROSE}</p></div><article><p>{PROSE}</p></article><div class='cookie-banner'><p>{PROSE}</p></div>", [PROSE]),
+        (f"<div class='advert'><h1>Buy now</h1><p>{PROSE}</p></div><article><p>{PROSE}</p></article>", [PROSE]),
+        (f"<article><p>{'word ' * 200_000}</p><p>{PROSE}</p></article>", [("word " * 200_000).strip(), PROSE]),
+    ],
+)
+def test_written_layouts(page, want, framed):
+    before, after = ("<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>", "<footer>&copy; 2024 Example. All rights reserved.</footer>") if framed else ("", "")
+    assert html.main_texts([f"<html><body>{before}{page}{after}</body></html>"], html.trained()) == ["\n".join(want)]
