@@ -5,7 +5,7 @@ Texts of one doc_id are taken to be one row, as in the given tables.
 
 from __future__ import annotations
 
-from . import licenses, secrets
+from . import licenses, mixing, secrets
 
 
 def _spans(kind: str, order: int, pattern: str, keep: str = "true") -> str:
@@ -49,6 +49,25 @@ SELECT d.doc_id, any_value(len(w)) AS n_words, count(*) FILTER (WHERE place) AS
 FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id"""
 
 
+def curriculum() -> str:
+    passes = lambda asked: "CASE WHEN size > 0 THEN " + " + ".join(f"(CASE WHEN {p} * qs + middle <= {asked} THEN 1 ELSE 0 END)" for p in range(mixing.MOST_PASSES)) + " ELSE 0 END"
+    pick = lambda xs: "[" + ", ".join(f"{x}::DOUBLE" for x in xs) + "][(i % 3 + 1)::INT]"
+    return f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS ss, count(*) AS n, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS i FROM d GROUP BY source),
+w AS (SELECT *, {pick(mixing.WEIGHTS)} AS weight, {pick(mixing.SLOPES)} AS slope, ss * {float(mixing.MOST_PASSES)}::DOUBLE AS cap, (sum(ss) OVER ())::DOUBLE AS total FROM s),
+l AS (SELECT *, (total - coalesce(sum(cap) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS level FROM w WINDOW f AS (ORDER BY cap / weight, source IS NULL, source)),
+t AS (SELECT *, CASE WHEN level * weight >= cap THEN cap ELSE max(CASE WHEN level * weight < cap THEN level END) OVER () * weight END AS target FROM l),
+q AS (SELECT d.*, ss, target, slope, size > ss / n / 2 AS large FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+m AS (SELECT *, sum(size) OVER (PARTITION BY source, large ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size + size / 2::DOUBLE AS middle, sum(size) OVER (PARTITION BY source, large) AS qs FROM q),
+big AS (SELECT *, target * qs / ss AS asked FROM m WHERE large),
+taken AS (SELECT *, {passes("asked")} AS copies FROM big),
+got AS (SELECT source, sum(copies * size) AS got FROM taken GROUP BY source),
+few AS (SELECT m.*, target - coalesce(got, 0) AS asked FROM m LEFT JOIN got ON m.source IS NOT DISTINCT FROM got.source WHERE NOT large),
+every AS (SELECT * FROM taken UNION ALL SELECT *, {passes("asked")} AS copies FROM few),
+x AS (SELECT *, least(greatest(middle / asked, 0::DOUBLE), 1::DOUBLE) AS x, 1::DOUBLE - slope AS b FROM every)
+SELECT doc_id, size, ss AS source_size, target, copies * size AS taken, source, copies::INT AS copies, CASE WHEN copies > 0 THEN (sqrt(b * b + 4::DOUBLE * slope * x) - b) / (2::DOUBLE * slope) END AS position FROM x"""
+
+
 SUBSTRINGS = """WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
 earliest AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g),
@@ -69,4 +88,4 @@ SELECT page_id, url, coalesce(array_to_string(list_filter(parts, lambda x: x <>
 
 
 def all_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secret_scan(), "op3_license_scan": license_scan(), "op4_substring_dedup": SUBSTRINGS, "op6_nearest_neighbours": NEIGHBOURS, "op10_html_extraction": MAIN_TEXT}
+    return {"op2_secret_scan": secret_scan(), "op3_license_scan": license_scan(), "op4_substring_dedup": SUBSTRINGS, "op6_nearest_neighbours": NEIGHBOURS, "op7_curriculum_mix": curriculum(), "op10_html_extraction": MAIN_TEXT}

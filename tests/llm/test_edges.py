@@ -210,3 +210,22 @@ PROSE = "The committee met on Tuesday and decided to postpone the vote until the
 def test_written_layouts(page, want, framed):
     before, after = ("<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>", "<footer>&copy; 2024 Example. All rights reserved.</footer>") if framed else ("", "")
     assert html.main_texts([f"<html><body>{before}{page}{after}</body></html>"], html.trained()) == ["\n".join(want)]
+
+
+def test_thousands_of_sources(spark, monkeypatch):
+    """Sums over ranges of sources and hot keys give what one sorted list gives."""
+    from pyspark.sql import functions as F
+
+    from migrascope.llm import common
+
+    rows = [(i, "w " * (1 + i % 17), "en", f"host{i % 3000}" if i % 3 else "hub", 1) for i in range(6000)]
+    d = spark.createDataFrame(rows, DOCS)
+    want = sorted(map(str, mixing.digest(d).collect()))
+    monkeypatch.setattr(mixing, "SLICE", 700)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 100)
+    monkeypatch.setattr(common, "HOT_LEAST", 50)
+    assert sorted(map(str, mixing.digest(d).collect())) == want
+    by = mixing.digest(d).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most"))
+    assert by.where(F.abs(F.col("taken") - F.col("target")) > F.col("most")).isEmpty()
+    got = mixing.positions(mixing.plan(mixing.sizes(d))).where("position < 0 OR position > 1")
+    assert got.isEmpty()
