@@ -6,27 +6,31 @@ nothing nearer than d - mu and the outer side nothing nearer than mu - d; a
 side is skipped when that bound times ``factor`` exceeds tau.  Factor 1 is
 exact; larger ones skip more.
 
-Shards are dealt by a hash of vec_id, queries come in blocks, and each
-(shard, block of queries) is one bounded task that returns the block's best
-of that shard; the best of all shards follow from a ranking per query.
-
-Defined cases: vectors that are null, zero, of another length than most, or
-hold null or non-finite components take no part; ties go to the smaller
-vec_id; rows without vec_id take no part; repeated rows are candidates each,
-except those with the query's own vec_id, and ask once, the smallest vector; an empty table gives none.
+Shards are dealt by row.  A shard's vectors move once, its tree is built once,
+and all queries stream past it in blocks, so a task holds one shard and one
+block; the best of all shards follow from a ranking per query.
+
+Defined cases: vectors that are null, zero, of another length than most (no
+distance to the others is defined), or hold null or non-finite components
+take no part; ties go to the smaller vec_id; rows without vec_id take no part;
+repeated rows are candidates each, except those with the query's own vec_id,
+and ask once, the smallest vector; an empty table gives none; extra columns
+play no part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import hash_parts, mark, release, stored, tidy
 
-#: Vectors of a shard, queries of a block, points of a leaf.
-SHARD, QUERIES, LEAF = 20_000, 2_000, 512
+#: Bytes of a shard's vectors, vectors from which on more shards are worth a task, queries of a block, points of a leaf.
+SHARD_BYTES, SHARD, QUERIES, LEAF = 64_000_000, 5_000, 2_000, 32
 OUT = "query_id bigint, vec_id bigint, score double"
 
 
@@ -58,6 +62,7 @@ class Tree:
     def __init__(self, ids: np.ndarray, x: np.ndarray, leaf: int = LEAF):
         o = np.argsort(ids, kind="stable")
         self.ids, self.x, self.leaf = ids[o], np.ascontiguousarray(x[o].T), leaf
+        self.computed = 0  # distances of searches
         self.root = self._node(np.arange(len(ids)))
 
     def _node(self, rows: np.ndarray):
@@ -85,6 +90,7 @@ class Tree:
             for a in range(0, len(who), block):
                 w = who[a : a + block]
                 d = distances(x, q[w])
+                self.computed += d.size
                 d[self.ids[rows] == query_ids[w][:, None]] = np.inf
                 better = np.flatnonzero((d <= best_d[w, -1:]).any(axis=1))
                 if not len(better):
@@ -105,6 +111,7 @@ class Tree:
                 return
             vantage, mu, far, inside, outside = node
             d = distances(self.x[:, [vantage]], q[who])[:, 0]
+            self.computed += d.size
             near = d - mu <= far - d  # nearer to the inner shell
             may_in = lambda s: (d[s] - mu) * factor <= best_d[who[s], -1] * slack
             may_out = lambda s: (far - d[s]) * factor <= best_d[who[s], -1] * slack
@@ -119,28 +126,50 @@ class Tree:
 
 
 def _searcher(k: int, factor: float):
-    def run(points: pa.Table, asked: pa.Table) -> pa.Table:
-        if not points.num_rows or not asked.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        mat = lambda t: np.array(t.column("v").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
-        tree = Tree(points.column("vec_id").to_numpy(), mat(points))
-        ids = asked.column("vec_id").to_numpy()
-        d, i = tree.search(ids, mat(asked), k, factor)
-        ok = np.isfinite(d)
-        return pa.table({"query_id": np.broadcast_to(ids[:, None], d.shape)[ok], "vec_id": i[ok], "score": d[ok]})
+    """Rows (shard, kind, vec_id, v) sorted by shard and kind: first a shard's vectors, then the queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tree = None, None
+        points: list[pa.RecordBatch] = []
+        mat = lambda b: np.asarray(b.column(3).flatten(), np.float64).reshape(b.num_rows, -1)
+        for batch in batches:
+            key = batch.column(0).to_numpy().astype(np.int64) * 2 + batch.column(1).to_numpy()
+            cut = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if a == b:
+                    continue
+                part, (shard, kind) = batch.slice(a, b - a), divmod(int(key[a]), 2)
+                if shard != now:
+                    now, tree, points = shard, None, []
+                if not kind:
+                    points.append(part)
+                    continue
+                if tree is None and points:
+                    tree = Tree(np.concatenate([p.column(2).to_numpy() for p in points]), np.concatenate([mat(p) for p in points]))
+                    points = []
+                for at in range(0, part.num_rows if tree else 0, QUERIES):
+                    some = part.slice(at, QUERIES)
+                    ids = some.column(2).to_numpy()
+                    d, i = tree.search(ids, mat(some), k, factor)
+                    ok = np.isfinite(d)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], d.shape)[ok]), pa.array(i[ok]), pa.array(d[ok])], names=["query_id", "vec_id", "score"])
 
     return run
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 10, factor: float = 1.0) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of ``vectors`` that the condition ``queries`` selects."""
-    v = stored(usable(vectors))
-    n, asked, width = v.agg(F.count(F.lit(1)), F.count(F.when(queries, 1)), F.mode(F.size("v"), True)).first()
+    spark, since = vectors.sparkSession, mark()
+    v = stored(usable(vectors).withColumn("row", F.monotonically_increasing_id()))
+    n, width = v.agg(F.count(F.lit(1)), F.mode(F.size("v"), True)).first()
     v = v.where(F.size("v") == (width or 0))
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asked // QUERIES))
-    points = v.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    ask = v.where(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = points.groupBy("shard", "block").cogroup(ask.groupBy("shard", "block")).applyInArrow(_searcher(k, factor), OUT)
+    shards = max(1, -(-n * (width or 0) * 8 // SHARD_BYTES), min(hash_parts(spark), -(-n // SHARD)))
+    points = v.select(F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "vec_id", "v")
+    ask = v.where(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
+    ask = ask.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "vec_id", "v")
+    dealt = points.unionByName(ask).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    found = stored(dealt.mapInArrow(tidy(_searcher(k, factor)), OUT))
+    release(spark, since, found)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

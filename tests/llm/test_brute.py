@@ -273,11 +273,31 @@ def test_neighbours(spark):
 
 
 def test_shards(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "SHARD", 40)
+    monkeypatch.setattr(neighbours, "SHARD_BYTES", 40 * 64)
     monkeypatch.setattr(neighbours, "QUERIES", 3)
     test_neighbours(spark)
 
 
+def test_pruning():
+    """On clustered vectors factor 1 is exact with fewer distances than a scan, and a larger factor needs fewer still."""
+    r = np.random.default_rng(7)
+    x = np.concatenate([c + r.normal(scale=0.05, size=(100, 16)) for c in r.normal(size=(60, 16))])
+    ids, q = np.arange(len(x)), x[::40]
+    own, exact = ids[::40], []
+    for i, v in zip(own, q, strict=True):
+        d = neighbours.distances(np.ascontiguousarray(x.T), v[None])[0]
+        d[i] = np.inf
+        exact.append(set(np.lexsort((ids, d))[:10].tolist()))
+    cost = {}
+    for factor in (1.0, 1.3, 2.0):
+        tree = neighbours.Tree(ids, x)
+        d, near = tree.search(own, q, 10, factor)
+        recall = sum(len(e & set(n.tolist())) for e, n in zip(exact, near, strict=True)) / (10 * len(q))
+        assert recall == 1 if factor == 1 else recall >= 0.9
+        cost[factor] = tree.computed
+    assert cost[2.0] < cost[1.3] < cost[1.0] < 0.5 * len(q) * len(x), cost
+
+
 # ------------------------------------------------------------------ 7
 def test_mixing(docs, texts):
     got = mixing.digest(docs).collect()
