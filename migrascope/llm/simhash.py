@@ -22,14 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import clean_documents, drop, hash_parts, stored, tidy, workspace
+from .common import HOT_LEAST, HOT_SHARE, clean_documents, drop, hash_parts, mark, release, small, stored, tidy, workspace
 
 SEED = 42
 RADIUS = 3
 BITS = 64
 SHINGLE = 3
-#: Rows of a bucket that one task compares with each other; larger buckets are split into pairs of blocks.
-BLOCK = 2048
+#: Rows of a bucket that one task compares with each other; larger buckets are split into pairs of blocks,
+#: and those of over CROWD blocks first by a second family of masks.
+BLOCK, CROWD = 2048, 16
 #: Shingles hashed at a time.
 CHUNK = 1 << 18
 
@@ -62,10 +63,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary")).mapInArrow(tidy(_fingerprints), "doc_id bigint, fp bigint")
 
 
-def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
-    """The covering masks: balanced, as each vector of {0,1}^(r+1) serves equally many positions."""
+def masks(radius: int = RADIUS, bits: int = BITS, second: bool = False) -> list[int]:
+    """The covering masks: balanced, as each vector of {0,1}^(r+1) serves equally many positions.
+
+    The second family gives neighbouring positions one vector, so its masks cut across those of the first.
+    """
     size = 1 << (radius + 1)
-    return [sum(1 << i for i in range(bits) if bin((i % size) & v).count("1") % 2) for v in range(1, size)]
+    vector = lambda i: i * size // bits if second else i % size
+    return [sum(1 << i for i in range(bits) if bin(vector(i) & v).count("1") % 2) for v in range(1, size)]
 
 
 def _signed(x: int) -> int:
@@ -129,18 +134,35 @@ def _linker(radius: int):
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (u, v), u > v, that connect what links within ``radius``; not every pair.
 
-    ``nodes``: (fp, node), each fp once.  A bucket of more than BLOCK rows is
-    dealt out as pairs of blocks, so no task meets an unbounded bucket and
-    every pair of its rows still meets in one task.
+    ``nodes``: (fp, node), each fp once.  A bucket of more than CROWD * BLOCK
+    rows is split by the second family of masks, under which each of its pairs
+    within the radius meets again, a row once per mask.  One that still has
+    more than BLOCK rows is dealt out as pairs of blocks, so no task meets an
+    unbounded bucket and every pair of its rows still meets in one task.
     """
     parts = hash_parts(nodes.sparkSession)
-    keyed = nodes.select("fp", "node", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks(radius))])).alias("x")).select(
-        F.xxhash64("x.t", "x.key").alias("bucket"), "fp", "node"
-    )
-    hot = keyed.groupBy("bucket").count().where(F.col("count") > BLOCK).select(F.col("bucket").alias("b"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    hot = stored(hot)
-    if not hot.isEmpty():
-        k = keyed.join(hot, F.col("bucket") == F.col("b"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+
+    def tables(d: DataFrame, second: bool, *within: str) -> DataFrame:
+        key = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks(radius, second=second))]
+        d = d.select(*within, "fp", "node", F.explode(F.array(*key)).alias("x"))
+        return d.select(F.xxhash64(*within, "x.t", "x.key").alias("bucket"), "fp", "node")
+
+    def over(d: DataFrame, rows: int) -> tuple[DataFrame, int]:
+        """Buckets of more than ``rows`` rows, and their number."""
+        hot = stored(d.groupBy("bucket").count().where(F.col("count") > rows).select(F.col("bucket").alias("b"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+        return hot, hot.count()
+
+    keyed = tables(nodes, False)
+    hot, n = over(keyed, BLOCK)
+    crowd = hot.where(F.col("blocks") > CROWD)
+    n_crowd = crowd.count() if n else 0
+    if n_crowd:
+        on = F.col("bucket") == F.col("b")
+        again = keyed.join(small(crowd, n_crowd), on, "left_semi")
+        keyed = keyed.join(small(crowd, n_crowd), on, "left_anti").unionByName(tables(again, True, "bucket"))
+        hot, n = over(keyed, BLOCK)
+    if n:
+        k = keyed.join(small(hot, n), F.col("bucket") == F.col("b"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         k = k.withColumn("mine", F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("blocks")))
         k = k.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         pair = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
@@ -153,27 +175,42 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node each node of ``edges`` (u > v) is connected with.
 
     Alternating large-star and small-star steps; each aggregates minima before
-    its shuffle, and each round is a written table.
+    its shuffle, and each round is a written table.  Where a node could be the
+    hub of very many edges, what such hubs need is broadcast: there are fewer
+    than HOT_SHARE of them.
     """
     spark = edges.sparkSession
-    path, mark = None, None
-    now = edges
+    path, before = None, None
+    now, n = edges, edges.count()
+
+    def told(rows: DataFrame, of: DataFrame) -> DataFrame:
+        """``rows`` with ``m`` of their u, from ``of`` (x, m, n): one row per u and how many rows it has."""
+        if n <= HOT_LEAST * HOT_SHARE:
+            return rows.join(of, F.col("u") == F.col("x"))
+        of = stored(of)
+        most = 2 * n // HOT_SHARE
+        hubs = F.broadcast(of.where(F.col("n") > most))
+        rest = rows.join(hubs, F.col("u") == F.col("x"), "left_anti").join(of.where(F.col("n") <= most), F.col("u") == F.col("x"))
+        return rows.join(hubs, F.col("u") == F.col("x")).unionByName(rest)
+
     while True:
+        since = mark()
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("x")).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m")
-        tied = large.join(low, F.col("u") == F.col("x"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"), "n")
+        large = told(both, least).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("x"), "m", "n")
+        tied = told(large, low)
         star = tied.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         fresh = workspace(spark)
         now = stored(star.where(F.col("u") > F.col("v")).distinct(), fresh)
         said = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        release(spark, since, now)
         if path:
             drop(spark, path)
-        path = fresh
-        if said == mark:
+        path, n = fresh, said[0]
+        if said == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = said
+        before = said
 
 
 def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:

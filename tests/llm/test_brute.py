@@ -369,16 +369,20 @@ def test_simhash(docs, texts):
     assert kept == set(root.values())
 
 
-def test_covering():
-    m = simhash.masks()
+@pytest.mark.parametrize("second", [False, True])
+def test_covering(second):
+    m = simhash.masks(second=second)
     assert len(m) == 15 and {bin(x).count("1") for x in m} == {32}
     for at in itertools.combinations(range(0, 64, 3), 3):
         diff = sum(1 << i for i in at)
         assert any(diff & x == 0 for x in m)
 
 
-def test_crowded_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [1, 1000])
+def test_crowded_buckets(spark, monkeypatch, crowd):
     monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "HOT_LEAST", 0)  # hubs are broadcast
     r = Random(4)
     base = r.getrandbits(64)
     fps = list({base ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 5))) for _ in range(400)} | {r.getrandbits(64) for _ in range(50)})
