@@ -9,8 +9,9 @@ A concentration step keeps, per group, the share H of rows nearest to the
 current estimate and estimates anew from these.  It runs as two grouped sums:
 rows are summed per group and narrow bin of distance (count, sums and
 cross-products, combined before the shuffle), and per group the bins are
-taken from the nearest on until they hold that share; the last bin is taken
-whole.  So every row counts, and no group is ever gathered.  Two
+taken from the nearest on until they hold that share, of the last one as much
+as is missing.  So every row counts, and no group is ever gathered.  Steps
+end once no determinant changes any more, or after STEPS of them.  Two
 deterministic starts (scaled medians; the correlation of the squashed
 coordinates) are carried on side by side, and the smaller determinant wins.
 FLOOR is added to the scatter, so a statistic that is constant in most texts
@@ -34,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import clean_documents, small, stored, tidy
+from .common import Hot, bounded, clean_documents, mark, release, stored, tidy
 
 #: Smoothing of the ratios: words or lines of an average text put to each text.
 PRIOR_WORDS, PRIOR_LINES, PRIOR_CHARS = 20, 5, 5.2
-#: Share of rows in a concentration step, steps, rows a group needs, and bins per doubling of the squared distance.
-H, STEPS, GROUP, FINE = 0.75, 5, 50, 8
+#: Share of rows in a concentration step, most steps, rows a group needs, and bins per doubling of the squared distance.
+H, STEPS, GROUP, FINE = 0.75, 12, 50, 8
+#: Change of a log-determinant that ends the steps.
+STILL = 1e-3
 #: Standard deviation added to each statistic.
 FLOOR = (0.035, 0.15, 0.2, 0.2, 0.012)
 DIM = len(FLOOR)
@@ -155,7 +158,7 @@ def _moments(x: Column) -> list[Column]:
 
 
 MOMENTS = [f"s{i}" for i in range(DIM)] + [f"s{i}_{j}" for i in range(DIM) for j in range(i, DIM)]
-ESTIMATE = "pool string, start int, center array<double>, inverse array<double>, logdet double"
+ESTIMATE = "pool string, start int, center array<double>, inverse array<double>, logdet double, was double, pool_n bigint"
 
 
 def _centred(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -168,14 +171,14 @@ def _centred(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return mean, cov
 
 
-def _estimates(rows: list[tuple[str, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    out: list[list] = [[], [], [], [], []]
-    for pool, start, mean, cov in rows:
+def _estimates(rows: list[tuple[dict, int, np.ndarray, np.ndarray, float | None]]) -> pa.RecordBatch:
+    out: list[list] = [[] for _ in range(7)]
+    for r, start, mean, cov, was in rows:
         full = cov + np.diag(np.square(FLOOR))
-        for c, v in zip(out, (pool, start, mean.tolist(), np.linalg.inv(full).ravel().tolist(), float(np.linalg.slogdet(full)[1])), strict=True):
+        for c, v in zip(out, (r["pool"], start, mean.tolist(), np.linalg.inv(full).ravel().tolist(), float(np.linalg.slogdet(full)[1]), was, r["pool_n"]), strict=True):
             c.append(v)
-    types = [pa.string(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["pool", "start", "center", "inverse", "logdet"])
+    types = [pa.string(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[x.split()[0] for x in ESTIMATE.split(", ")])
 
 
 def _concentrated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +186,7 @@ def _concentrated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rows = []
         for r in b.to_pylist():
             mean, cov = _centred(r)
-            rows.append((r["pool"], r["start"], mean, cov * consistency(r["n"] / r["pool_n"])))
+            rows.append((r, r["start"], mean, cov * consistency(min(1.0, r["n"] / r["pool_n"])), r["was"]))
         yield _estimates(rows)
 
 
@@ -192,10 +195,10 @@ def _started(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for r in b.to_pylist():
             middle, scale = np.array(r["middle"]), np.array(r["scale"])
-            rows.append((r["pool"], 0, middle, np.diag(scale**2)))
+            rows.append((r, 0, middle, np.diag(scale**2), None))
             _, cov = _centred(r)
             d = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-            rows.append((r["pool"], 1, middle, cov / np.outer(d, d) * np.outer(scale, scale)))
+            rows.append((r, 1, middle, cov / np.outer(d, d) * np.outer(scale, scale), None))
         yield _estimates(rows)
 
 
@@ -207,51 +210,60 @@ def distance(x: Column, center: Column, inverse: Column) -> Column:
 
 
 def _pool(level: str, *keys: str) -> Column:
-    return F.to_json(F.struct(F.lit(level).alias("level"), *keys))
+    return bounded(F.to_json(F.struct(F.lit(level).alias("level"), *keys)))
 
 
 def fit(stats: DataFrame) -> DataFrame:
     """(lang, source, center, inverse) for every language and source of ``stats``."""
-    ok = stats.where(~F.col("base_failed")).select("lang", "source", "x")
-    counts = stored(stats.groupBy("lang", "source").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("n")))
+    since = mark()
+    group, lang = _pool("source", "lang", "source"), _pool("lang", "lang")
+    counts = stored(stats.groupBy("lang", "source").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("n")).withColumns({"group": group, "of_lang": lang}))
     n_groups = counts.count()
-    by_lang = Window.partitionBy("lang")
-    pool = F.when(F.col("n") >= GROUP, _pool("source", "lang", "source")).when(F.col("n_lang") >= GROUP, _pool("lang", "lang")).otherwise(_pool("all"))
-    pools = stored(counts.withColumn("n_lang", F.sum("n").over(by_lang)).select("lang", "source", "n", pool.alias("pool")))
+    langs = counts.groupBy("of_lang").agg(F.sum("n").alias("n_lang"), (F.min("n") < GROUP).alias("short"))
+    counts = stored(Hot(counts, "of_lang", n_groups).join(counts, langs))
+    lone = (F.col("n") < GROUP) & (F.col("n_lang") < GROUP)
+    pool = F.when(F.col("n") >= GROUP, F.col("group")).when(lone, F.lit("all")).otherwise(F.col("of_lang"))
+    pools = counts.select("lang", "source", "group", pool.alias("pool"))
     # A language's estimate looks at all its rows, also those of groups with one of their own.
-    own = pools.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.array_distinct(F.array(_pool("source", F.col("lang"), F.col("source")), _pool("lang", F.col("lang")), _pool("all"))).alias("all_pools"))
-    wanted = [r[0] for r in pools.where("get_json_object(pool, '$.level') != 'source'").select("pool").distinct().limit(1001).collect()]
-    keep = F.col("p").isin(wanted) if len(wanted) <= 1000 else F.lit(True)
-    own = stored(own.select("g_lang", "g_source", F.explode("all_pools").alias("p")).where(keep | (F.get_json_object("p", "$.level") == "source")))
-    rows = ok.join(small(own, 3 * n_groups), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))).select(F.col("p").alias("pool"), "x")
+    everything = F.lit("all") if counts.agg(F.max(lone)).first()[0] else F.lit(None).cast("string")
+    own = F.array_compact(F.array(F.when(F.col("n") >= GROUP, F.col("group")), F.when(F.col("short") & (F.col("n_lang") >= GROUP), F.col("of_lang")), everything))
+    own = counts.select("group", own.alias("pools"))
+    ok = stats.where(~F.col("base_failed")).select(group.alias("group"), "x")
+    rows = Hot(ok, "group", n_groups).join(ok, own).select(F.explode("pools").alias("pool"), "x")
+    by_pool = Hot(rows, "pool", 2 * n_groups)
     quart = lambda i: F.percentile_approx(F.element_at("x", i + 1), [0.25, 0.5, 0.75], 2000).alias(f"q{i}")
     q = rows.groupBy("pool").agg(F.count(F.lit(1)).alias("pool_n"), *[quart(i) for i in range(DIM)])
     robust = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOOR[i] / 4)) for i in range(DIM)]
     q = stored(q.select("pool", "pool_n", F.array(*[F.col(f"q{i}")[1] for i in range(DIM)]).alias("middle"), F.array(*robust).alias("scale")))
-    side = small(q, 3 * n_groups)
     z = F.array(*[F.tanh((F.element_at("x", i + 1) - F.element_at("middle", i + 1)) / F.element_at("scale", i + 1)) for i in range(DIM)])
-    squashed = rows.join(side, "pool").select("pool", z.alias("z")).groupBy("pool").agg(F.count(F.lit(1)).alias("n"), *_moments(F.col("z")))
+    squashed = by_pool.join(rows, q).select("pool", z.alias("z")).groupBy("pool").agg(F.count(F.lit(1)).alias("n"), *_moments(F.col("z")))
     now = stored(squashed.join(q, "pool").mapInArrow(_started, ESTIMATE))
-    sizes = small(q.select("pool", "pool_n"), 3 * n_groups)
     for _ in range(STEPS):
         d2 = distance(F.col("x"), F.col("center"), F.col("inverse"))
-        near = rows.join(small(now, 6 * n_groups), "pool").select("pool", "start", "x", F.floor(F.log2(d2 + 2.0**-10) * FINE).cast("int").alias("bin"))
-        bins = near.groupBy("pool", "start", "bin").agg(F.count(F.lit(1)).alias("n"), *_moments(F.col("x")))
+        near = by_pool.join(rows, now).select("pool", "start", "x", "pool_n", "logdet", F.floor(F.log2(d2 + 2.0**-10) * FINE).cast("int").alias("bin"))
+        bins = near.groupBy("pool", "start", "bin").agg(F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("pool_n", "logdet")], *_moments(F.col("x")))
         before = Window.partitionBy("pool", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        bins = bins.join(sizes, "pool").withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("ahead") < F.ceil(F.col("pool_n") * H))
-        half = bins.groupBy("pool", "start").agg(F.max("pool_n").alias("pool_n"), F.sum("n").alias("n"), *[F.sum(m).alias(m) for m in MOMENTS])
+        bins = bins.withColumn("missing", F.ceil(F.col("pool_n") * H) - F.coalesce(F.sum("n").over(before), F.lit(0))).where("missing > 0")
+        share = F.least(F.col("missing") / F.col("n"), F.lit(1.0))
+        half = bins.groupBy("pool", "start").agg(F.max("pool_n").alias("pool_n"), F.max("logdet").alias("was"), F.sum(F.col("n") * share).alias("n"), *[F.sum(F.col(m) * share).alias(m) for m in MOMENTS])
         now = stored(half.mapInArrow(_concentrated, ESTIMATE))
+        if (now.agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0] or 0.0) <= STILL:
+            break
     best = now.groupBy("pool").agg(F.min_by(F.struct("center", "inverse"), F.struct("logdet", "start")).alias("b"))
-    return stored(pools.join(best, "pool", "left").select("lang", "source", "b.center", "b.inverse"))
+    rules = stored(Hot(pools, "pool", n_groups).join(pools, best, "left").select("lang", "source", "b.center", "b.inverse"))
+    release(stats.sparkSession, since, rules)
+    return rules
 
 
 def judged(stats: DataFrame, rules: DataFrame) -> DataFrame:
     """``stats`` with ``distance2`` and ``kept``."""
-    side = small(rules.select(F.col("lang").alias("r_lang"), F.col("source").alias("r_source"), "center", "inverse"), rules.count())
-    d = stats.join(side, F.col("lang").eqNullSafe(F.col("r_lang")) & F.col("source").eqNullSafe(F.col("r_source")), "left")
+    group = _pool("source", "lang", "source")
+    stats = stats.withColumn("__group", group)
+    side = rules.select(group.alias("__group"), "center", "inverse")
+    d = Hot(stats, "__group", rules.count()).join(stats, side, "left")
     d = d.withColumn("distance2", distance(F.col("x"), F.col("center"), F.col("inverse")))
     kept = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= chi2_at(1 - TAIL, DIM))
-    return d.withColumn("kept", kept).drop("r_lang", "r_source", "center", "inverse")
+    return d.withColumn("kept", kept).drop("__group", "center", "inverse")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -262,7 +274,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept; texts never take part in a shuffle."""
-    rules = fit(stored(statistics(docs, "lang", "source")))
+    """The rows of ``docs`` that are kept; texts are measured once and never take part in a shuffle."""
     d = clean_documents(docs)
-    return judged(statistics(d, *d.columns), rules).where("kept").select(*d.columns)
+    stats = stored(statistics(d, *d.columns))
+    return judged(stats, fit(stats.select("lang", "source", "base_failed", "x"))).where("kept").select(*d.columns)

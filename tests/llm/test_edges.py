@@ -229,3 +229,49 @@ def test_thousands_of_sources(spark, monkeypatch):
     assert by.where(F.abs(F.col("taken") - F.col("target")) > F.col("most")).isEmpty()
     got = mixing.positions(mixing.plan(mixing.sizes(d))).where("position < 0 OR position > 1")
     assert got.isEmpty()
+
+
+def test_thousands_of_groups(spark, monkeypatch):
+    """Rules with joins by hot keys are those of broadcast sides."""
+    from random import Random
+
+    from pyspark.sql import functions as F
+
+    from migrascope.llm import common
+
+    r = Random(5)
+    rows = [(f"l{i % 7}" if i % 5 else None, f"host{r.randint(0, 400)}" if i % 3 else "hub", i % 50 == 0, [r.gauss(0, 1) for _ in range(quality.DIM)]) for i in range(6000)]
+    stats = spark.createDataFrame(rows, "lang string, source string, base_failed boolean, x array<double>").coalesce(1)
+    plain = {(x.lang, x.source): x for x in quality.fit(stats).collect()}
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 100)
+    monkeypatch.setattr(common, "HOT_LEAST", 50)
+    hot = quality.fit(stats)
+    assert len(plain) > 100
+    for x in hot.collect():
+        y = plain.pop((x.lang, x.source))
+        assert all(abs(a - b) < 1e-6 for a, b in zip([*x.center, *x.inverse], [*y.center, *y.inverse]))
+    assert not plain
+    assert quality.judged(stats, hot).where(F.col("distance2").isNull()).isEmpty()
+
+
+def test_plain_mcd(spark):
+    """One pool against a plain determinant search that keeps the nearest rows themselves, not bins of them."""
+    import numpy as np
+
+    r = np.random.default_rng(11)
+    x = np.concatenate([r.normal(size=(900, quality.DIM)) @ r.normal(size=(quality.DIM, quality.DIM)), r.normal(8, 0.3, (150, quality.DIM))])
+    h, best = -(-len(x) * 3 // 4), None
+    for _ in range(60):
+        some = x[r.choice(len(x), quality.DIM + 1, replace=False)]
+        for _ in range(40):
+            mean, cov = some.mean(0), np.cov(some.T, bias=True) + np.eye(quality.DIM) * 1e-9
+            d = ((x - mean) @ np.linalg.inv(cov) * (x - mean)).sum(1)
+            some = x[np.argsort(d)[:h]]
+        found = (np.linalg.slogdet(np.cov(some.T, bias=True))[1], some)
+        best = found if best is None or found[0] < best[0] else best
+    stats = spark.createDataFrame([("en", "s", False, v.tolist()) for v in x], "lang string, source string, base_failed boolean, x array<double>")
+    rule = quality.fit(stats).first()
+    cov = np.linalg.inv(np.array(rule.inverse).reshape(quality.DIM, -1)) - np.diag(np.square(quality.FLOOR))
+    want = np.cov(best[1].T, bias=True) * quality.consistency(0.75)
+    assert np.allclose(rule.center, best[1].mean(0), atol=0.1 * np.sqrt(np.diag(want)).max())
+    assert np.allclose(cov, want, atol=0.06 * np.diag(want).max())
