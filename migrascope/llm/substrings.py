@@ -39,6 +39,8 @@ from .common import drop, hash_parts, stored, tidy, workspace
 WINDOW = 13
 #: Windows a map task sorts and packs at a time.
 PACK = 600_000
+#: Windows a range of fingerprints is meant to hold over all batches: so many tasks, whatever their number, fit an executor.
+RANGE = 4_000_000
 #: Ranges of fingerprints per bucket of documents: a range sends a row of repeats to each bucket.
 BUCKET_PARTS = 8
 #: Bytes of text split at a time.
@@ -357,7 +359,7 @@ class Index:
         while len(self.runs) > self.max_runs:
             self.compact()
         rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint"), "th", F.col("text").cast("binary")).mapInArrow(tidy(_packer(self.parts)), ENTRY)
-        path = self._write(rows.unionByName(self._all(self.runs, RUN)).groupBy("rng").applyInArrow(_merger(self.parts), ENTRY))
+        path = self._write(rows.unionByName(self._all(self.runs, RUN)).repartition(self.parts, "rng").groupBy("rng").applyInArrow(_merger(self.parts), ENTRY))
         self.runs.append(path)
         self.flags.append(path)
         self.upto = ends[1]
@@ -366,7 +368,7 @@ class Index:
         """Merge the two neighbouring runs that are smallest together; their flags stay."""
         at = min(range(len(self.runs) - 1), key=lambda i: self.sizes[self.runs[i]] + self.sizes[self.runs[i + 1]])
         old = self.runs[at : at + 2]
-        self.runs[at : at + 2] = [self._write(self._all(old, RUN).groupBy("rng").applyInArrow(_compact, ENTRY))]
+        self.runs[at : at + 2] = [self._write(self._all(old, RUN).repartition(self.parts, "rng").groupBy("rng").applyInArrow(_compact, ENTRY))]
         for path in old:
             drop(self.spark, f"{path}/kind={RUN}")
 
@@ -378,7 +380,7 @@ class Index:
 
     def repeats(self) -> DataFrame:
         """(f_id, f_th, flags): the packed starts of the repeated windows of each document so far."""
-        return self._all(self.flags, FLAGS).groupBy("bucket").applyInArrow(_gather, "f_id bigint, f_th bigint, flags binary")
+        return self._all(self.flags, FLAGS).repartition(max(1, self.parts // BUCKET_PARTS), "bucket").groupBy("bucket").applyInArrow(_gather, "f_id bigint, f_th bigint, flags binary")
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,9 +412,10 @@ def _joined(docs: DataFrame, batches: int, max_runs: int) -> DataFrame:
     """(doc_id, text, flags) per row of ``docs``."""
     spark = docs.sparkSession
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10000)).first()[0] if batches > 1 else []
-    cuts = sorted(set(cuts or []))
-    index = Index(spark, 2 * hash_parts(spark), max_runs)
+    # a word and its blank take six bytes or more in most texts, so this is about the number of windows
+    cuts, size = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5], 10000), F.sum(F.octet_length("text"))).first()
+    cuts = sorted(set(cuts or [])) if batches > 1 else []
+    index = Index(spark, max(2 * hash_parts(spark), -(-(size or 0) // (6 * RANGE))), max_runs)
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = keyed.where(F.col("doc_id").isNotNull())
         part = part.where(F.col("doc_id") > low) if low is not None else part
