@@ -48,10 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is a written table."""
+    """All stages over documents; each but the last is a written table, which goes once the next one stands."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = common.mark()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = common.stored(docs)
+            common.release(spark, since, docs)
     return docs
