@@ -30,7 +30,7 @@ from .common import Hot, bounded, clean_documents, hash_parts, mark, release, sm
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_PASSES = 3
-#: Rows of a slice of a queue: a prefix sum runs over the slices' totals first, then inside each slice.
+#: Sources of a range: a prefix sum runs over the ranges' totals first, then inside each range.
 SLICE = 200_000
 #: Schedules by weight class: a source of slope s is asked for at the rate 1 + s*(2t - 1).  Heavy sources fade, light ones grow.
 SLOPES = (-0.5, 0.25, 0.5)
@@ -111,7 +111,8 @@ def plan(sized: DataFrame, seed: int = 7) -> DataFrame:
     known = stored(targets(by_source).withColumn("key", _key(F.col("source"))))
     n_sources = known.count()
     of_source = Hot(sized, "key", n_sources)
-    per = known.select("key", "source_size", "target", "slope", (F.col("source_size") / F.col("n") / 2).alias("edge"), F.ceil(F.col("n") / SLICE).alias("slices"))
+    # a queue's prefix sum runs over its slices' totals first, then inside each; their number grows as its root
+    per = known.select("key", "source_size", "target", "slope", (F.col("source_size") / F.col("n") / 2).alias("edge"), F.ceil(F.sqrt("n") / 4).alias("slices"))
     q = of_source.join(sized, per).withColumn("large", F.col("size") > F.col("edge"))
     q = q.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     part = F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint") * F.col("slices"), 32)
