@@ -31,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command")
     s = sub.add_parser("scan", help="summary of all files")
     s.add_argument("--detailed", action="store_true", help="also list the files that need work")
-    s.add_argument("--stats-only", action="store_true")
+    s.add_argument("--stats-only", action="store_true", help="nothing but the summary")
     r = sub.add_parser("report", help="JSON or CSV of all files")
     r.add_argument("--format", choices=("json", "csv"), default="json")
     r.add_argument("--output", help="file to write; standard output without it")
@@ -52,13 +52,18 @@ def config_of(args: argparse.Namespace) -> Config:
     return c
 
 
+def exports(spark: SparkSession, c: Config) -> DataFrame:
+    """(source, export_name) of both libraries."""
+    return registry.exports(registry.models(model_files(spark, c.scan.shared_dir, c.scan.shared_2023_dir, c.scan.models_subdir)))
+
+
 def analyzed(spark: SparkSession, c: Config, use_registry: bool = False) -> DataFrame:
     """All files below the app path; both libraries must exist."""
     for path in (c.scan.app_path, c.scan.shared_dir, c.scan.shared_2023_dir):
         check_root(path)
-    known = registry.exports(registry.models(model_files(spark, c.scan.shared_dir, c.scan.shared_2023_dir, c.scan.models_subdir))) if use_registry else None
+    known = exports(spark, c) if use_registry else None
     files = tree(spark, c.scan.app_path, skip_dirs=SKIPPED)
-    return extract.analyze(files.where("content IS NOT NULL"), Matcher.of(c.scan), known)
+    return extract.analyze(files, Matcher.of(c.scan), known)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -68,7 +73,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "watch":
         check_root(c.scan.app_path)
         show = lambda store: print(sinks.summary(stats.scan_stats(store.read())))
-        q = follow(spark, c.scan.app_path, Store(spark, args.store), args.checkpoint, matcher=Matcher.of(c.scan), on_update=show, interval=None if args.once else args.interval, skip_dirs=SKIPPED)
+        known = exports(spark, c) if args.use_registry else None
+        quiet = 0 if args.once else c.watch.debounce_ms
+        q = follow(spark, c.scan.app_path, Store(spark, args.store), args.checkpoint, matcher=Matcher.of(c.scan), registry=known, on_update=show, interval=None if args.once else args.interval, quiet_ms=quiet, skip_dirs=SKIPPED)
         q.awaitTermination()
         return 0
     rows = analyzed(spark, c, args.use_registry).persist()  # parsed once for all parts of the report
@@ -78,10 +85,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             sinks.deliver(sinks.json_report(counts, files) if args.format == "json" else sinks.csv_report(files), args.output)
             return 0
         print(sinks.summary(counts))
-        if getattr(args, "detailed", False):
+        only = getattr(args, "stats_only", False)  # neither option is there without a command
+        if getattr(args, "detailed", False) and not only:
             print(sinks.detailed(files))
         errors = sinks.error_lines(extract.errors_of(rows))
-        if errors:
+        if errors and not only:
             print("\nErrors:\n" + errors, file=sys.stderr)
         return 0
     finally:

@@ -14,15 +14,11 @@ def last_component(path: str, default: str) -> str:
 
 @dataclass
 class ScanConfig:
-    root: str = "./WebApp.Desktop/src"
+    root: str = "."
     app_path: str = ""
     shared_dir: str = "shared"
     shared_2023_dir: str = "shared_2023"
     models_subdir: str = "models"
-    codegen_subdir: str = "models/codegen"
-    file_extensions: list[str] = field(default_factory=lambda: [".ts", ".tsx"])
-    ignore_patterns: list[str] = field(default_factory=lambda: ["node_modules", "dist", "*.spec.ts", "*.test.ts"])
-    max_parallel_jobs: int | None = None
 
     @property
     def shared_name(self) -> str:
@@ -35,29 +31,13 @@ class ScanConfig:
 
 @dataclass
 class WatchConfig:
-    enabled: bool = True
     debounce_ms: int = 100
-    recursive: bool = True
-
-
-@dataclass
-class ViewConfig:
-    tick_rate_ms: int = 250
-    frame_rate: int = 60
-    color_scheme: str = "auto"
-
-
-@dataclass
-class EditorConfig:
-    command: str | None = None
 
 
 @dataclass
 class Config:
     scan: ScanConfig = field(default_factory=ScanConfig)
     watch: WatchConfig = field(default_factory=WatchConfig)
-    view: ViewConfig = field(default_factory=ViewConfig)
-    editor: EditorConfig = field(default_factory=EditorConfig)
 
     @classmethod
     def from_json(cls, text: str) -> Config:

@@ -21,7 +21,7 @@ def _parsed(want_imports: bool, want_exports: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             imports, exports, kinds, messages = [], [], [], []
-            for path, content in zip(b.column(0), b.column(1), strict=True):
+            for path, content, unread in zip(b.column(0), b.column(1), b.column(3), strict=True):
                 found_i, found_e, kind, message = [], [], None, None
                 try:
                     code = (content.as_py() if content.is_valid else b"").decode("utf-8")
@@ -32,6 +32,8 @@ def _parsed(want_imports: bool, want_exports: bool):
                         found_e = [{"name": x.name, "kind": x.kind, "location": x.location._asdict(), "reexport_source": x.reexport_source} for x in typescript.exports(code, tsx)]
                 except UnicodeDecodeError:
                     kind, message = "read", "stream did not contain valid UTF-8"
+                if unread.is_valid:
+                    kind, message = "read", unread.as_py()
                 imports.append(found_i)
                 exports.append(found_e)
                 kinds.append(kind)
@@ -46,10 +48,12 @@ def _parsed(want_imports: bool, want_exports: bool):
 def parse(files: DataFrame, imports: bool = True, exports: bool = False) -> DataFrame:
     """(path, content_hash, imports, exports, error_kind, message) of files (path, content).
 
-    A file that isn't UTF-8 is a read error with no imports; null content is
-    an empty file.  The text itself goes no further than the parser.
+    A file that isn't UTF-8, or has an ``error``, is a read error with no
+    imports; null content is an empty file.  The text itself goes no further
+    than the parser.
     """
-    d = files.select("path", F.col("content").cast("binary").alias("content"), F.xxhash64("content").alias("content_hash"))
+    unread = F.col("error") if "error" in files.columns else F.lit(None)
+    d = files.select("path", F.col("content").cast("binary").alias("content"), F.xxhash64("content").alias("content_hash"), unread.cast("string").alias("unread"))
     return d.mapInArrow(_parsed(imports, exports), f"path string, content_hash bigint, imports array<{PARSED_IMPORT}>, exports array<{EXPORT}>, error_kind string, message string")
 
 

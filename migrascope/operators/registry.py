@@ -9,9 +9,6 @@ from ..functions import text
 from ..schema import IMPORT
 from .extract import parse
 
-#: Up to this many exports travel with the plan as two arrays; more are joined.
-INLINE = 20_000
-
 
 def models(files: DataFrame) -> DataFrame:
     """(name, source, definition_path, exports, seq) of model files (path, content, source, seq).
@@ -51,23 +48,17 @@ def known(names: DataFrame, known_exports: DataFrame) -> DataFrame:
 def confirmed(files: DataFrame, known_exports: DataFrame) -> DataFrame:
     """``files`` whose imports keep their source only if one of their names is a known export of it.
 
-    Imports without names lose it.  A small registry is one broadcast row; a
-    large one is joined on (source, name).
+    Imports without names lose it.  A row is known by a number of its own, so
+    rows of one path stay apart; files are parsed once, and both groupings
+    stand on the one shuffle by that number.
     """
     with_source = lambda i, s: F.struct(i["path"].alias("path"), i["kind"].alias("kind"), i["names"].alias("names"), s.alias("source"), i["location"].alias("location"))
-    if known_exports.limit(INLINE + 1).count() <= INLINE:
-        row = known_exports.agg(F.collect_set(F.concat_ws("\x00", "source", "export_name")).alias("__known"))
-        d = files.crossJoin(F.broadcast(row))
-        seen = lambda i: F.exists(i["names"], lambda n: F.array_contains(F.col("__known"), F.concat_ws("\x00", i["source"], n)))
-        kept = F.transform("imports", lambda i: with_source(i, F.when(i["source"].isNotNull() & seen(i), i["source"])))
-        return d.withColumn("imports", kept.cast(f"array<{IMPORT}>")).drop("__known")
-    # One row per import and name, so the files are parsed once; both groupings stand on the one shuffle by path.
-    rest = [c for c in files.columns if c not in ("path", "imports")]
-    rows = files.select("path", *rest, F.posexplode_outer("imports").alias("__pos", "__i")).select("*", F.explode_outer("__i.names").alias("__name"))
+    rest = [c for c in files.columns if c != "imports"]
+    rows = files.withColumn("__row", F.monotonically_increasing_id()).select("__row", *rest, F.posexplode_outer("imports").alias("__pos", "__i")).select("*", F.explode_outer("__i.names").alias("__name"))
     hit = known_exports.select(F.col("source").alias("__source"), F.col("export_name").alias("__export"), F.lit(True).alias("__hit")).distinct()
-    rows = rows.join(hit, (F.col("__i.source") == F.col("__source")) & (F.col("__name") == F.col("__export")), "left").repartition("path")
-    one = rows.groupBy("path", "__pos").agg(F.bool_or("__hit").alias("__hit"), F.first("__i").alias("__i"), *[F.first(c).alias(c) for c in rest])
+    rows = rows.join(hit, (F.col("__i.source") == F.col("__source")) & (F.col("__name") == F.col("__export")), "left").repartition("__row")
+    one = rows.groupBy("__row", "__pos").agg(F.bool_or("__hit").alias("__hit"), F.first("__i").alias("__i"), *[F.first(c).alias(c) for c in rest])
     i = F.col("__i")
     kept = F.when(i.isNotNull(), F.struct("__pos", with_source(i, F.when(F.coalesce("__hit", F.lit(False)), i["source"])).alias("i")))
-    by_file = one.groupBy("path").agg(F.array_sort(F.collect_list(kept)).alias("imports"), *[F.first(c).alias(c) for c in rest])
+    by_file = one.groupBy("__row").agg(F.array_sort(F.collect_list(kept)).alias("imports"), *[F.first(c).alias(c) for c in rest])
     return by_file.withColumn("imports", F.transform("imports", lambda x: x["i"]).cast(f"array<{IMPORT}>")).select(*files.columns)

@@ -38,9 +38,11 @@ def needs_update(new: DataFrame, old: DataFrame, key: str = "path", hash_column:
 
 
 class Store:
-    """A versioned table: each write is a new folder, and a pointer file names the current one.
+    """A versioned table: each write is a new folder, and the pointer with the highest number names the current one.
 
-    A reader sees one whole version; a write that fails leaves the old one.
+    A pointer appears by a rename and is never replaced, so a reader sees one
+    whole version, and a write that fails at any point leaves the one before.
+    The version before the current one stays for those who still read it.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -51,12 +53,20 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _pointer(self) -> dict | None:
+    def _numbers(self) -> list[int]:
+        """The pointers there are, in order."""
         fs, path = self._fs()
-        p = path(f"{self.path}/CURRENT")
-        if not fs.exists(p):
-            return None
-        return json.loads(self.spark.read.text(f"{self.path}/CURRENT", wholetext=True).first()[0])
+        if not fs.exists(path(self.path)):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
+        return sorted(int(n.removeprefix("current-")) for n in names if n.startswith("current-"))
+
+    def _at(self, number: int) -> dict:
+        return json.loads(self.spark.read.text(f"{self.path}/current-{number}", wholetext=True).first()[0])
+
+    def _pointer(self) -> dict | None:
+        numbers = self._numbers()
+        return self._at(numbers[-1]) if numbers else None
 
     def read(self) -> DataFrame | None:
         now = self._pointer()
@@ -83,17 +93,18 @@ class Store:
         return (self._pointer() or {}).get("batch", -1)
 
     def write(self, rows: DataFrame, batch: int = -1) -> None:
-        before, version = self._pointer(), uuid.uuid4().hex
+        numbers, version = self._numbers(), uuid.uuid4().hex
         rows.write.parquet(f"{self.path}/{version}")
         fs, path = self._fs()
-        tmp = path(f"{self.path}/CURRENT.tmp")
+        tmp = path(f"{self.path}/new-{version}")
         out = fs.create(tmp, True)
         out.writeBytes(json.dumps({"version": version, "batch": batch}))
         out.close()
-        fs.delete(path(f"{self.path}/CURRENT"), False)
-        fs.rename(tmp, path(f"{self.path}/CURRENT"))
-        if before:
-            fs.delete(path(f"{self.path}/{before['version']}"), True)
+        if not fs.rename(tmp, path(f"{self.path}/current-{(numbers[-1] if numbers else 0) + 1}")):
+            raise RuntimeError(f"another writer was faster in {self.path}")
+        for old in numbers[:-1]:
+            fs.delete(path(f"{self.path}/{self._at(old)['version']}"), True)
+            fs.delete(path(f"{self.path}/current-{old}"), False)
 
     def upsert(self, new: DataFrame, key: str = "path", *, deleted: str | None = None, batch: int = -1) -> None:
         """Take in changes; a stream batch that was taken in already changes nothing."""

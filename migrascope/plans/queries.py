@@ -342,11 +342,12 @@ def needs_update(spark, sf_dir):
     return store.needs_update(half(1), half(0)).select("path")
 
 
-@_query(f"WITH {EVENTS}, old AS (SELECT path, max(event_id) AS event_id FROM ev WHERE event_id % 3 = 0 GROUP BY path), new AS (SELECT path, max(event_id) AS event_id FROM ev WHERE event_id % 3 = 1 GROUP BY path) SELECT path, event_id FROM new WHERE event_id % 5 <> 0 UNION ALL SELECT path, event_id FROM old WHERE path NOT IN (SELECT path FROM new)")
+@_query(f"WITH {EVENTS}, old AS (SELECT path, max(event_id) AS event_id FROM ev WHERE event_id % 3 = 0 GROUP BY path), new AS (SELECT path, max(event_id) AS event_id FROM ev WHERE event_id % 3 <> 0 GROUP BY path) SELECT path, event_id FROM new WHERE event_id % 5 <> 0 UNION ALL SELECT path, event_id FROM old WHERE path NOT IN (SELECT path FROM new)")
 def upsert_with_deletes(spark, sf_dir):
     e = synthetic.event_paths(spark, sf_dir).select("path", "event_id")
-    part = lambda k: e.where(F.col("event_id") % 3 == k).groupBy("path").agg(F.max("event_id").alias("event_id"))
-    return store.upsert(part(0), part(1).withColumn("gone", F.col("event_id") % 5 == 0), deleted="gone")
+    part = lambda rows: e.where(rows).groupBy("path").agg(F.max("event_id").alias("event_id"))
+    old = F.col("event_id") % 3 == 0
+    return store.upsert(part(old), part(~old).withColumn("gone", F.col("event_id") % 5 == 0), deleted="gone")
 
 
 @_query(f"WITH {EVENTS} SELECT DISTINCT path FROM ev")

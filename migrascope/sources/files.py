@@ -8,7 +8,8 @@ Options: ``path`` (root), ``recursive`` (true), ``skip_dirs`` (JSON list, on
 top of the built-in ones), ``follow_links`` (false), ``paths`` (JSON list: read
 these files instead of walking), ``files_per_partition`` (200), ``state_dir``
 (stream: where snapshots are kept; without it the offset holds the snapshot),
-``max_files_per_batch`` (stream).
+``max_files_per_batch`` (stream), ``quiet_ms`` (stream: a file counts as changed
+once it has been quiet that long).
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 from ..functions.paths import SKIP_DIRS
 from .ignore import Ignored
 
-BATCH_SCHEMA = "path string, rel_path string, content binary, mtime bigint"
+BATCH_SCHEMA = "path string, rel_path string, content binary, mtime bigint, error string"
 STREAM_SCHEMA = "path string, rel_path string, deleted boolean, mtime bigint, ts timestamp"
 SUFFIXES = (".ts", ".tsx")
 
@@ -95,6 +96,7 @@ class _Options:
         self.chunk = int(get("files_per_partition", 200))
         self.state = get("state_dir", "")
         self.most = int(get("max_files_per_batch", 0))
+        self.quiet = int(get("quiet_ms", 0))
 
     def files(self) -> list[str]:
         return sorted(self.paths) if self.paths is not None else list(walk(self.root, self.recursive, self.skip, self.follow))
@@ -113,12 +115,15 @@ class TreeReader(DataSourceReader):
 
     def read(self, partition: Files) -> Iterator[tuple]:
         for path in partition.paths:
+            content = mtime = error = None
             try:
                 with open(path, "rb") as f:
                     content, mtime = f.read(), os.fstat(f.fileno()).st_mtime_ns
-            except OSError:
-                content, mtime = None, None  # gone meanwhile; ``content`` null
-            yield path, self.options.rel(path), content, mtime
+            except OSError as e:
+                # of a list, a file that is gone is no error: all of its row is null
+                if self.options.paths is None or not isinstance(e, FileNotFoundError):
+                    error = e.strerror or str(e)
+            yield path, self.options.rel(path), content, mtime, error
 
 
 class ChangeReader(SimpleDataSourceStreamReader):
@@ -167,6 +172,13 @@ class ChangeReader(SimpleDataSourceStreamReader):
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         before, after = self._load(start), self._now()
+        if self.options.quiet:  # what changed a moment ago may go on changing: it waits for a later look
+            edge = time.time_ns() - self.options.quiet * 1_000_000
+            for path in [p for p, m in after.items() if m > edge and before.get(p) != m]:
+                if path in before:
+                    after[path] = before[path]
+                else:
+                    del after[path]
         rows = self._rows(before, after)
         if self.options.most and len(rows) > self.options.most:
             rows = rows[: self.options.most]
@@ -205,7 +217,7 @@ def register(spark) -> None:
 
 
 def tree(spark, root: str, *, recursive: bool = True, skip_dirs: tuple[str, ...] = (), follow_links: bool = False):
-    """(path, rel_path, content, mtime) of the TypeScript files below ``root``."""
+    """(path, rel_path, content, mtime, error) of the TypeScript files below ``root``; content of one that can't be read is null."""
     register(spark)
     check_root(root)
     r = spark.read.format("tsfiles").option("recursive", recursive).option("skip_dirs", json.dumps(list(skip_dirs))).option("follow_links", follow_links)
@@ -213,16 +225,16 @@ def tree(spark, root: str, *, recursive: bool = True, skip_dirs: tuple[str, ...]
 
 
 def listed(spark, paths: list[str], root: str = ""):
-    """The same for a list of files; those that can't be read have null content."""
+    """The same for a list of files; those that are gone have neither content nor error."""
     register(spark)
     r = spark.read.format("tsfiles").option("paths", json.dumps(paths))
     return r.load(root) if root else r.load()
 
 
-def changes(spark, root: str, *, state_dir: str = "", recursive: bool = True, skip_dirs: tuple[str, ...] = (), max_files: int = 0):
+def changes(spark, root: str, *, state_dir: str = "", recursive: bool = True, skip_dirs: tuple[str, ...] = (), max_files: int = 0, quiet_ms: int = 0):
     """Stream of (path, rel_path, deleted, mtime, ts)."""
     register(spark)
     check_root(root)
-    r = spark.readStream.format("tsfiles").option("changes", "true").option("recursive", recursive).option("skip_dirs", json.dumps(list(skip_dirs))).option("max_files_per_batch", max_files)
+    r = spark.readStream.format("tsfiles").option("changes", "true").option("recursive", recursive).option("skip_dirs", json.dumps(list(skip_dirs))).option("max_files_per_batch", max_files).option("quiet_ms", quiet_ms)
     r = r.option("state_dir", state_dir) if state_dir else r
     return r.load(root)

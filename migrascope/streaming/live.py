@@ -41,8 +41,9 @@ def rescan(spark: SparkSession, changed: DataFrame, matcher: Matcher | None = No
     once = changed.groupBy("path").agg(F.max_by("deleted", "ts").alias("deleted"))
     paths = [r[0] for r in once.where("NOT deleted").select("path").toLocalIterator()]
     files = listed(spark, paths)
-    rows = analyze(files.where("content IS NOT NULL"), matcher, registry).withColumn("deleted", F.lit(False))
-    lost = files.where("content IS NULL").select("path").union(once.where("deleted").select("path"))
+    there = F.col("content").isNotNull() | F.col("error").isNotNull()
+    rows = analyze(files.where(there), matcher, registry).withColumn("deleted", F.lit(False))
+    lost = files.where(~there).select("path").union(once.where("deleted").select("path"))
     return rows.unionByName(lost.withColumn("deleted", F.lit(True)), allowMissingColumns=True)
 
 
@@ -54,24 +55,30 @@ def follow(
     *,
     watch: WatchFilter | None = None,
     matcher: Matcher | None = None,
+    registry: DataFrame | None = None,
     on_update: Callable[[Store], None] | None = None,
     interval: str | None = None,
     max_files: int = 1000,
+    quiet_ms: int = 0,
     skip_dirs: tuple[str, ...] = (),
 ) -> StreamingQuery:
     """Keep ``store`` at the latest state of every file below ``root``.
 
     Without ``interval`` it takes in what is there and ends; the same
     checkpoint goes on from there later.  Each micro-batch is taken in once,
-    whatever is retried.
+    whatever is retried.  Bursts of changes to a file end ``quiet_ms`` after
+    the last; only then it is read.  Snapshots of the tree lie beside a
+    checkpoint that is a folder of this machine, as the tree is; beside any
+    other the offsets hold them.
     """
-    events = changes(spark, root, skip_dirs=skip_dirs, max_files=max_files)
+    state_dir = "" if "://" in checkpoint else checkpoint.removeprefix("file:").rstrip("/") + ".snapshots"
+    events = changes(spark, root, state_dir=state_dir, skip_dirs=skip_dirs, max_files=max_files, quiet_ms=quiet_ms)
     events = accepted(events, watch)
 
     def take(batch: DataFrame, number: int) -> None:
         if number <= store.batch():
             return
-        store.upsert(rescan(batch.sparkSession, batch, matcher), deleted="deleted", batch=number)
+        store.upsert(rescan(batch.sparkSession, batch, matcher, registry), deleted="deleted", batch=number)
         if on_update:
             on_update(store)
 

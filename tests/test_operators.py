@@ -76,10 +76,7 @@ def test_scan(spark, tree):
     rows.unpersist()
 
 
-@pytest.mark.parametrize("inline", [True, False])
-def test_registry(spark, tree, inline, monkeypatch):
-    if not inline:
-        monkeypatch.setattr(registry, "INLINE", 0)
+def test_registry(spark, tree):
     m = registry.models(model_files(spark, str(tree / "app/shared"), str(tree / "app/shared_2023")))
     assert {(r.name, r.source, tuple(r.exports)) for r in registry.latest(m).collect()} == {("Foo", "shared_legacy", ("Foo", "FooModel")), ("interfaces", "shared_legacy", ("Old",)), ("Bar", "shared2023", ("Other",))}
     assert {(r.source, r.models, r.exports) for r in registry.counts(m).collect()} == {("shared_legacy", 2, 3), ("shared2023", 1, 1)}
@@ -250,3 +247,68 @@ def test_commands(spark, tree, tmp_path, capsys):
     assert cli.main([*base, "watch", "--store", f"file://{tmp_path}/s", "--checkpoint", f"file://{tmp_path}/c", "--once"], spark) == 0
     with pytest.raises(ValueError):
         cli.main(["--path", str(tree), "--shared-path", "/nowhere", "scan"], spark)
+
+
+def test_registry_keeps_rows_of_one_path_apart(spark):
+    known = spark.createDataFrame([("shared_legacy", "Tax")], "source string, export_name string")
+    code = ["import {Tax} from '../shared/models/tax'", "import {Fee} from '../shared/models/tax'", "", "import {Tax} from '../shared/models/tax'"]
+    files = spark.createDataFrame([("a.ts", c) for c in code[:3]] + [(None, code[3])], "path string, content string")
+    got = extract.analyze(files, registry=known).select("path", "status").collect()
+    assert sorted((r.path or "", r.status) for r in got) == [("", "legacy"), ("a.ts", "legacy"), ("a.ts", "no_models"), ("a.ts", "no_models")]
+
+
+def test_files_that_cannot_be_read(spark, tmp_path, capsys):
+    """They count in the total and as errors, and are listed."""
+    from migrascope import cli
+
+    for d in ("app/shared", "app/shared_2023"):
+        (tmp_path / d).mkdir(parents=True)
+    (tmp_path / "app/fine.ts").write_text("import 'x'")
+    (tmp_path / "app/lost.ts").symlink_to(tmp_path / "nowhere.ts")
+    from migrascope.sources.files import listed, tree
+
+    rows = {r.rel_path: r.error for r in tree(spark, str(tmp_path / "app"), follow_links=True).collect()}
+    assert rows["fine.ts"] is None and rows["lost.ts"]
+    files = tree(spark, str(tmp_path / "app"), follow_links=True)
+    counts = stats.scan_stats(extract.analyze(files)).first()
+    assert (counts.total, counts.errors, counts.no_models) == (2, 1, 1)
+    assert [r.path.rsplit("/", 1)[1] for r in extract.errors_of(extract.analyze(files)).collect()] == ["lost.ts"]
+    gone = listed(spark, [str(tmp_path / "app/never.ts")]).first()
+    assert gone.content is None and gone.error is None
+    assert cli.main(["--path", str(tmp_path), "scan", "--stats-only"], spark) == 0 and "Total" in capsys.readouterr().out
+
+
+def test_store_survives_a_crash_at_the_pointer(spark, tmp_path):
+    from migrascope.operators.store import Store
+
+    store = Store(spark, str(tmp_path / "state"))
+    rows = lambda n: spark.createDataFrame([(f"p{n}", n)], "path string, n int")
+    assert store.read() is None and store.batch() == -1
+    store.write(rows(0), 0)
+    held = store.read()
+    store.write(rows(1), 1)
+    assert held.collect()[0].n == 0  # a reader of the version before goes on
+    (tmp_path / "state/new-x").write_text("{")  # what a crash before the rename leaves
+    assert store.batch() == 1 and store.read().collect()[0].n == 1
+    store.write(rows(2), 2)
+    assert [r.n for r in store.read().collect()] == [2] and len(list((tmp_path / "state").glob("current-*"))) == 2
+
+
+def test_bursts_wait_until_quiet(tmp_path):
+    import os
+    import time
+
+    from migrascope.sources.files import ChangeReader
+
+    f = tmp_path / "a.ts"
+    f.write_text("1")
+    reader = ChangeReader({"path": str(tmp_path), "quiet_ms": "600000"})
+    rows, offset = reader.read(reader.initialOffset())
+    assert list(rows) == []
+    old = time.time_ns() - 700_000 * 1_000_000
+    os.utime(f, ns=(old, old))
+    rows, offset = reader.read(offset)
+    assert [r[1] for r in rows] == ["a.ts"]
+    f.write_text("2")
+    rows, offset = reader.read(offset)
+    assert list(rows) == []
