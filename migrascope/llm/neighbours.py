@@ -62,12 +62,19 @@ class Tree:
     def __init__(self, ids: np.ndarray, x: np.ndarray, leaf: int = LEAF):
         o = np.argsort(ids, kind="stable")
         self.ids, self.x, self.leaf = ids[o], np.ascontiguousarray(x[o].T), leaf
+        self.squares = (self.x * self.x).sum(axis=0)
         self.computed = 0  # distances of searches
+        self.leaves: list[np.ndarray] = []
         self.root = self._node(np.arange(len(ids)))
 
+    def _leaf(self, rows: np.ndarray) -> int:
+        self.leaves.append(rows)
+        return len(self.leaves) - 1
+
     def _node(self, rows: np.ndarray):
+        """A leaf's number, or (vantage row, radius, distance of the outer shell, inner side, outer side)."""
         if len(rows) <= self.leaf:
-            return rows
+            return self._leaf(rows)
         vantage = rows[np.random.default_rng(len(rows)).integers(len(rows))]
         d = distances(self.x[:, rows], self.x[:, [vantage]].T)[0]
         mu = np.median(d)
@@ -75,53 +82,95 @@ class Tree:
         if inner.all():  # half of the points or more are alike: the rest, if any, goes outside
             inner = d < mu
             if not inner.any():
-                return rows
+                return self._leaf(rows)
             mu = d[inner].max()
         return vantage, float(mu), float(d[~inner].min()), self._node(rows[inner]), self._node(rows[~inner])
 
     def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Distances and vec_ids of each query's ``k`` nearest, its own vec_id left out; missing ones have distance inf."""
+        """Distances and vec_ids of each query's ``k`` nearest, its own vec_id left out; missing ones have distance inf.
+
+        Each query first descends to the leaf it lies in, which gives it a first tau; then
+        every node is met once, with all queries that its bounds don't keep out.
+        """
         best_d = np.full((len(q), k), np.inf)
         best_i = np.full((len(q), k), np.iinfo(np.int64).max)
+        home = np.full(len(q), -1)
         slack = 1 + 1e-12
+        columns, squares = np.ascontiguousarray(q.T), (q * q).sum(axis=1)
+        doubt = 8 * (q.shape[1] + 8) * np.finfo(np.float64).eps
+
+        def measured(rows: np.ndarray, w: np.ndarray) -> np.ndarray:
+            """Distances (query, row); inf where the expanded square, within its rounding error, is beyond the query's tau."""
+            both = squares[w][:, None] + self.squares[rows][None, :]
+            about = both - 2 * (q[w] @ self.x[:, rows])
+            a, b = np.nonzero(~(about - doubt * both - 1e-300 > best_d[w, -1:] ** 2 * slack))
+            total = np.zeros(len(a))
+            qa, xb = w[a], rows[b]
+            for p, c in zip(columns, self.x, strict=True):
+                d = p[qa] - c[xb]
+                d *= d
+                total += d
+            about.fill(np.inf)
+            about[a, b] = np.sqrt(total)
+            return about
 
         def offer(rows: np.ndarray, who: np.ndarray) -> None:
-            block, x = max(1, 2_000_000 // len(rows)), self.x[:, rows]
+            block = max(1, 2_000_000 // len(rows))
             for a in range(0, len(who), block):
                 w = who[a : a + block]
-                d = distances(x, q[w])
+                d = measured(rows, w)
                 self.computed += d.size
                 d[self.ids[rows] == query_ids[w][:, None]] = np.inf
-                better = np.flatnonzero((d <= best_d[w, -1:]).any(axis=1))
+                better = np.flatnonzero((d <= best_d[w, -1:]).any(axis=1) & np.isfinite(d).any(axis=1))
                 if not len(better):
                     continue
                 w, d = w[better], d[better]
                 near = np.argsort(d, axis=1, kind="stable")[:, :k]  # a leaf's vec_ids ascend, so ties are in order
-                all_d = np.concatenate([best_d[w], np.take_along_axis(d, near, 1)], 1)
-                all_i = np.concatenate([best_i[w], self.ids[rows][near]], 1)
+                near_d = np.take_along_axis(d, near, 1)
+                all_d = np.concatenate([best_d[w], near_d], 1)
+                all_i = np.concatenate([best_i[w], np.where(np.isfinite(near_d), self.ids[rows][near], np.iinfo(np.int64).max)], 1)
                 o = np.lexsort((all_i, all_d), axis=1)[:, :k]
                 best_d[w], best_i[w] = np.take_along_axis(all_d, o, 1), np.take_along_axis(all_i, o, 1)
 
+        def scan(leaf: int, who: np.ndarray) -> None:
+            rows = self.leaves[leaf]
+            for a in range(0, len(rows) if len(who) else 0, 20_000):
+                offer(rows[a : a + 20_000], who)
+
+        def split(node, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Distances to the vantage point, and which queries are nearer to the inner shell."""
+            vantage, mu, far = node[:3]
+            d = distances(self.x[:, [vantage]], q[who])[:, 0]
+            self.computed += d.size
+            return d, d - mu <= far - d
+
+        def descend(node, who: np.ndarray) -> None:
+            if not len(who):
+                return
+            if isinstance(node, int):
+                home[who] = node
+                scan(node, who)
+                return
+            _, near = split(node, who)
+            descend(node[3], who[near])
+            descend(node[4], who[~near])
+
         def visit(node, who: np.ndarray) -> None:
             if not len(who):
                 return
-            if isinstance(node, np.ndarray):
-                for a in range(0, len(node), 20_000):
-                    offer(node[a : a + 20_000], who)
+            if isinstance(node, int):
+                scan(node, who[home[who] != node])
                 return
-            vantage, mu, far, inside, outside = node
-            d = distances(self.x[:, [vantage]], q[who])[:, 0]
-            self.computed += d.size
-            near = d - mu <= far - d  # nearer to the inner shell
-            may_in = lambda s: (d[s] - mu) * factor <= best_d[who[s], -1] * slack
-            may_out = lambda s: (far - d[s]) * factor <= best_d[who[s], -1] * slack
-            n, m = np.flatnonzero(near), np.flatnonzero(~near)
-            visit(inside, who[n[may_in(n)]])
-            visit(outside, who[m[may_out(m)]])
-            visit(outside, who[n[may_out(n)]])
-            visit(inside, who[m[may_in(m)]])
-
-        visit(self.root, np.arange(len(q)))
+            _, mu, far, inside, outside = node
+            d, near = split(node, who)
+            go_in = lambda: visit(inside, who[(d - mu) * factor <= best_d[who, -1] * slack])
+            go_out = lambda: visit(outside, who[(far - d) * factor <= best_d[who, -1] * slack])
+            for go in (go_in, go_out) if 2 * near.sum() >= len(who) else (go_out, go_in):
+                go()
+
+        with np.errstate(over="ignore", invalid="ignore"):
+            descend(self.root, np.arange(len(q)))
+            visit(self.root, np.arange(len(q)))
         return best_d, best_i
 
 
