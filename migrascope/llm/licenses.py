@@ -8,8 +8,9 @@ differ by words put in or left out, are merged; a merged span is verified by
 the share of the template's grams it covers, its last one, which tells
 versions apart, among them.
 
-The templates are a fixed list, so the side that is broadcast has a fixed
-size.  Hits alone are shuffled, and one row per document.
+A text's grams are built block by block, so a very long text holds its words
+at a time, not its grams.  The templates are a fixed list, so the side that is
+broadcast has a fixed size.  Hits alone are shuffled, and one row per document.
 
 Defined cases: null text counts as empty; repeated rows give equal rows;
 ties between templates give the larger score; an empty table gives none;
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower
 
 K = 3
+#: Grams of a text that are built at a time.
+BLOCK = 4096
 #: Diagonals this near are one span, and the share of a template's grams that makes a label.
 NEAR, COVER = 2, 0.8
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -68,10 +71,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BREAK, -1), "")
 
 
-def _grams(w: Column) -> Column:
-    gram = lambda i: F.struct(i.alias("dpos"), F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("gram"))
-    row = F.struct(F.lit(-1).alias("dpos"), F.lit(None).cast("string").alias("gram"))
-    return F.concat(F.array(row), F.when(F.size(w) >= K, F.transform(F.sequence(F.lit(0), F.size(w) - K), gram)).otherwise(F.array().cast("array<struct<dpos:int,gram:string>>")))
+def _blocks(w: Column) -> Column:
+    """A text's words in blocks of BLOCK grams, each with the place of its first word; a text without words has an empty one."""
+    last = F.greatest(F.lit(0), F.floor((F.size(w) - K) / BLOCK)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda j: F.struct((j * BLOCK).alias("at"), F.slice(w, j * BLOCK + 1, F.lit(BLOCK + K - 1)).alias("w")))
+
+
+def _grams(at: Column, w: Column) -> Column:
+    """A block's grams with their places, and in a text's first block a row (-1, null) for the text itself."""
+    gram = lambda i: F.struct((at + i).alias("dpos"), F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("gram"))
+    none = F.array().cast("array<struct<dpos:int,gram:string>>")
+    row = F.when(at == 0, F.array(F.struct(F.lit(-1).alias("dpos"), F.lit(None).cast("string").alias("gram")))).otherwise(none)
+    return F.concat(row, F.when(F.size(w) >= K, F.transform(F.sequence(F.lit(0), F.size(w) - K), gram)).otherwise(none))
 
 
 def votes(docs: DataFrame) -> DataFrame:
@@ -80,7 +91,9 @@ def votes(docs: DataFrame) -> DataFrame:
     (doc_id, th, n_words, tmpl, base, label, grams, diag, covered, copies)
     """
     d = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
-    d = d.select("doc_id", "th", F.size("w").cast("bigint").alias("n_words"), F.explode(_grams(F.col("w"))).alias("g"))
+    d = d.select("doc_id", "th", "w", F.size("w").cast("bigint").alias("n_words"))
+    d = d.select("doc_id", "th", "n_words", F.explode(_blocks(F.col("w"))).alias("b"))
+    d = d.select("doc_id", "th", "n_words", F.explode(_grams(F.col("b.at"), F.col("b.w"))).alias("g"))
     d = d.select("doc_id", "th", "n_words", "g.dpos", "g.gram").withColumn("h", F.xxhash64("gram"))
     hit = d.join(F.broadcast(templates(docs.sparkSession)), (F.col("h") == F.col("thash")) & (F.col("gram") == F.col("tgram")), "left")
     hit = hit.where(F.col("tmpl").isNotNull() | (F.col("dpos") == -1))

@@ -164,6 +164,13 @@ def test_edited_license(spark):
     assert got == ["mit", "gpl-3", ""]
 
 
+@pytest.mark.parametrize("block", [1, 3])
+def test_license_blocks(spark, docs, texts, monkeypatch, block):
+    monkeypatch.setattr(licenses, "BLOCK", block)
+    test_licenses(spark, docs, {i: t for i, t in texts.items() if len(t) < 2000})
+    test_edited_license(spark)
+
+
 # ------------------------------------------------------------------ 4
 def removed(texts):
     first = {}
