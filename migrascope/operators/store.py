@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,12 @@ def needs_update(new: DataFrame, old: DataFrame, key: str = "path", hash_column:
 
 
 class Store:
-    """A versioned table: each write is a new folder, and the pointer with the highest number names the current one.
+    """A versioned table: a base and runs of changes; the pointer with the highest number names the current ones.
+
+    A change run takes in the changes alone.  Runs are merged while the one
+    before is at most twice as large, so there are few, and the base is
+    written anew once they hold a quarter of its rows: what is written stays
+    in proportion to what changes, not to the table.
 
     A pointer appears by a rename and is never replaced, so a reader sees one
     whole version, and a write that fails at any point leaves the one before.
@@ -68,9 +74,24 @@ class Store:
         numbers = self._numbers()
         return self._at(numbers[-1]) if numbers else None
 
+    def _parquet(self, folder: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{folder}")
+
+    def _last(self, runs: list, key: str) -> DataFrame:
+        """Each key's rows in the last of the runs that has it, removed ones marked."""
+        d = reduce(DataFrame.unionByName, [self._parquet(folder).withColumn("__run", F.lit(i)) for i, (folder, _) in enumerate(runs)])
+        newest = d.groupBy(key).agg(F.max("__run").alias("__run"))
+        return d.join(newest, [key, "__run"], "left_semi").drop("__run")
+
+    def _rows(self, now: dict) -> DataFrame:
+        base = self._parquet(now["version"])
+        if not now.get("runs"):
+            return base
+        return upsert(base, self._last(now["runs"], now["key"]), now["key"], deleted="__gone").select(*base.columns)
+
     def read(self) -> DataFrame | None:
         now = self._pointer()
-        return self.spark.read.parquet(f"{self.path}/{now['version']}") if now else None
+        return self._rows(now) if now else None
 
     def get(self, key: str, column: str = "path"):
         """The row of one key; None if there is none."""
@@ -92,27 +113,58 @@ class Store:
         """Number of the last stream batch taken in; -1 before any."""
         return (self._pointer() or {}).get("batch", -1)
 
-    def write(self, rows: DataFrame, batch: int = -1) -> None:
-        numbers, version = self._numbers(), uuid.uuid4().hex
-        rows.write.parquet(f"{self.path}/{version}")
+    def _folder(self, rows: DataFrame) -> tuple[str, int]:
+        """Write rows to a new folder: its name and how many they are."""
+        name = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/{name}")
+        return name, self._parquet(name).count()
+
+    def _publish(self, now: dict, numbers: list[int]) -> None:
         fs, path = self._fs()
-        tmp = path(f"{self.path}/new-{version}")
+        tmp = path(f"{self.path}/new-{uuid.uuid4().hex}")
         out = fs.create(tmp, True)
-        out.writeBytes(json.dumps({"version": version, "batch": batch}))
+        out.writeBytes(json.dumps(now))
         out.close()
         if not fs.rename(tmp, path(f"{self.path}/current-{(numbers[-1] if numbers else 0) + 1}")):
             raise RuntimeError(f"another writer was faster in {self.path}")
+        folders = lambda p: {p["version"], *(f for f, _ in p.get("runs", []))}
+        held = folders(now) | (folders(self._at(numbers[-1])) if numbers else set())
         for old in numbers[:-1]:
-            fs.delete(path(f"{self.path}/{self._at(old)['version']}"), True)
+            for folder in folders(self._at(old)) - held:
+                fs.delete(path(f"{self.path}/{folder}"), True)
             fs.delete(path(f"{self.path}/current-{old}"), False)
 
+    def write(self, rows: DataFrame, batch: int = -1) -> None:
+        """Replace the whole table."""
+        numbers = self._numbers()
+        version, n = self._folder(rows)
+        self._publish({"version": version, "rows": n, "batch": batch}, numbers)
+
     def upsert(self, new: DataFrame, key: str = "path", *, deleted: str | None = None, batch: int = -1) -> None:
         """Take in changes; a stream batch that was taken in already changes nothing."""
-        if 0 <= batch <= self.batch():
+        numbers = self._numbers()
+        now = self._at(numbers[-1]) if numbers else None
+        if now is None:
+            self.write(new.where(~F.coalesce(F.col(deleted), F.lit(False))).drop(deleted) if deleted else new, batch)
             return
-        old = self.read()
-        if old is None:
-            fresh = new.where(~F.coalesce(F.col(deleted), F.lit(False))).drop(deleted) if deleted else new
+        if 0 <= batch <= now["batch"]:
+            return
+        if now.get("key", key) != key:  # runs of another key are taken in first
+            self.write(upsert(self._rows(now), new, key, deleted=deleted), batch)
+            return
+        columns = self._parquet(now["version"]).columns
+        gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+        runs = [*now.get("runs", []), self._folder(new.withColumn("__gone", gone).select(*columns, "__gone"))]
+        made = {runs[-1][0]}
+        if 4 * sum(n for _, n in runs) >= now["rows"]:
+            self.write(self._rows(now | {"runs": runs, "key": key}), batch)
         else:
-            fresh = upsert(old, new, key, deleted=deleted).select(*old.columns)
-        self.write(fresh, batch)
+            take, total = 1, runs[-1][1]
+            while take < len(runs) and runs[-take - 1][1] <= 2 * total:
+                take, total = take + 1, total + runs[-take - 1][1]
+            if take > 1:
+                runs = [*runs[:-take], self._folder(self._last(runs[-take:], key))]
+            self._publish(now | {"runs": runs, "key": key, "batch": batch}, numbers)
+        fs, path = self._fs()
+        for folder in made - {f for f, _ in (self._pointer() or {}).get("runs", [])}:  # merged at once
+            fs.delete(path(f"{self.path}/{folder}"), True)

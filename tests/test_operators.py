@@ -294,6 +294,31 @@ def test_store_survives_a_crash_at_the_pointer(spark, tmp_path):
     assert [r.n for r in store.read().collect()] == [2] and len(list((tmp_path / "state").glob("current-*"))) == 2
 
 
+def test_store_takes_in_change_runs(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "state"))
+    rows = lambda lo, hi, v, gone: spark.range(lo, hi).select(F.concat(F.lit("p"), "id").alias("path"), F.lit(v).alias("n"), F.lit(gone).alias("gone"))
+    s.upsert(rows(0, 1000, 0, False), deleted="gone", batch=0)
+    base = s._pointer()["version"]
+    want = {f"p{i}": 0 for i in range(1000)}
+    for b, (lo, hi, gone) in enumerate([(0, 60, False), (10, 12, True), (11, 13, False), (990, 1005, False), (500, 501, True)], 1):
+        s.upsert(rows(lo, hi, b, gone), deleted="gone", batch=b)
+        s.upsert(rows(0, 900, 99, True), deleted="gone", batch=b)  # tried again: no effect
+        for i in range(lo, hi):
+            want.pop(f"p{i}", None) if gone else want.update({f"p{i}": b})
+        got = s.read().collect()
+        assert {r.path: r.n for r in got} == want and len(got) == len(want)
+    now = s._pointer()
+    assert now["version"] == base and len(now["runs"]) < 5  # the base stands, runs are merged
+    s.upsert(rows(0, 300, 6, False).drop("gone"), batch=6)
+    want |= {f"p{i}": 6 for i in range(300)}
+    assert {r.path: r.n for r in s.read().collect()} == want
+    now = s._pointer()
+    assert now["version"] != base and not now.get("runs")
+    s.write(rows(0, 1, 7, False).drop("gone"), 7)
+    assert not (tmp_path / "state" / base).exists()  # nothing of versions that are gone is left
+    assert len([p for p in (tmp_path / "state").iterdir() if p.is_dir()]) == 2
+
+
 def test_bursts_wait_until_quiet(tmp_path):
     import os
     import time
