@@ -9,8 +9,8 @@ the share of the template's grams it covers, its last one, which tells
 versions apart, among them.
 
 A text's grams are built block by block, so a very long text holds its words
-at a time, not its grams.  The templates are a fixed list, so the side that is
-broadcast has a fixed size.  Hits alone are shuffled, and one row per document.
+at a time, not its grams.  The templates are a fixed list, sentences and whole texts or
+notices, so the side that is broadcast has a fixed size.  Hits alone are shuffled, and one row per document.
 
 Defined cases: null text counts as empty; repeated rows give equal rows;
 ties between templates give the larger score; an empty table gives none;
@@ -37,20 +37,72 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-# Wording of common licenses, and their labels.
+# Clauses of the BSD family, which its two forms share.
+BSD_HEAD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+)
+BSD_NAME = "3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission "
+BSD_TAIL = (
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+    "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+# Wording of common licenses and notices, and their labels.  A template's last
+# words are those that tell it from its kin, as a label needs them.
 TEMPLATES = (
     ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache-2"),
     ("licensed under the apache license version 2 0", "apache-2"),
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "mit"),
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights "
+        "to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        "mit",
+    ),
+    (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+        "apache-2",
+    ),
     ("this work is licensed under the gnu general public license version 3", "gpl-3"),
     ("this work is licensed under the gnu general public license version 2", "gpl-2"),
-    ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl"),
+    ("you can redistribute it and or modify it under the terms of the gnu general", "gpl"),
+    ("you can redistribute it and or modify it under the terms of the gnu lesser", "lgpl"),
+    ("you can redistribute it and or modify it under the terms of the gnu affero", "agpl"),
+    ("distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general", "gpl"),
+    ("distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser", "lgpl"),
+    ("distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu affero", "agpl"),
     ("under the terms of the gnu lesser general public license", "lgpl"),
     ("under the terms of the gnu affero general public license", "agpl"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
+    (BSD_HEAD + BSD_TAIL, "bsd-2"),
+    (BSD_HEAD + BSD_NAME + BSD_TAIL, "bsd-3"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        "isc",
+    ),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2"),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0", "mpl-2"),
+    (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+        "zlib",
+    ),
+    (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software "
+        "to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so",
+        "bsl-1",
+    ),
     ("licensed under cc by nc 4 0", "cc-by-nc"),
     ("licensed under cc by sa 4 0", "cc-by-sa"),
     ("licensed under cc by 4 0", "cc-by"),

@@ -164,6 +164,26 @@ def test_edited_license(spark):
     assert got == ["mit", "gpl-3", ""]
 
 
+def test_whole_licenses(spark):
+    """Whole texts, reworded here and there, and kin that differ by a word or a clause."""
+    family = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} General Public License, either version 3 of the License, or (at your option) any later version."
+    two, three = licenses.BSD_HEAD + licenses.BSD_TAIL, licenses.BSD_HEAD + licenses.BSD_NAME + licenses.BSD_TAIL
+    mit = max((t for t, lab in licenses.TEMPLATES if lab == "mit"), key=len)
+    cases = {
+        family.format("Lesser"): {"lgpl"},
+        family.format("Affero"): {"agpl"},
+        family.format(""): {"gpl"},
+        two: {"bsd", "bsd-2"},
+        three: {"bsd", "bsd-3"},
+        two.replace("copyright holder or contributors", "regents and contributors"): {"bsd", "bsd-2"},
+        mit.replace("the above copyright", "the copyright above").upper(): {"mit"},
+        " ".join(mit.split()[60:100]): set(),
+    }
+    got = licenses.digest(frame(spark, list(cases))).orderBy("doc_id").collect()
+    assert [set(filter(None, r.labels.split(","))) for r in got] == list(cases.values())
+    assert [r.score for r in got][3:5] == [1.0, 1.0]
+
+
 @pytest.mark.parametrize("block", [1, 3])
 def test_license_blocks(spark, docs, texts, monkeypatch, block):
     monkeypatch.setattr(licenses, "BLOCK", block)
