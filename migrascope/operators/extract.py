@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -113,6 +114,12 @@ def model_names(files: DataFrame) -> DataFrame:
     return d.select("path", F.col("i.source").alias("source"), F.posexplode("i.names").alias("place", "name"), F.col("i.location.byte_offset").alias("byte_offset")).orderBy("path", "source", "byte_offset", "place")
 
 
+def name_counts(files: DataFrame) -> DataFrame:
+    """The model imports of each file with how many names each takes: (path, source, import_path, kind, names, byte_offset)."""
+    d = files.select("path", F.explode(F.filter("imports", lambda i: i["source"].isNotNull())).alias("i"))
+    return d.select("path", F.col("i.source").alias("source"), F.col("i.path").alias("import_path"), F.col("i.kind").alias("kind"), F.size("i.names").cast("bigint").alias("names"), F.col("i.location.byte_offset").alias("byte_offset"))
+
+
 def first_location(imports: Column) -> Column:
     """Where to open a file: its first legacy import, else its first import, else null."""
     legacy = F.get(F.filter(imports, lambda i: F.coalesce(i["source"] == LEGACY, F.lit(False))), F.lit(0))
@@ -139,6 +146,27 @@ def next_status_filter(now: str | None) -> str | None:
     return cycle[(cycle.index(now) + 1) % len(cycle)]
 
 
+@dataclass(frozen=True)
+class Narrowing:
+    """What a listing is narrowed to: a part of the path and a status."""
+
+    text_part: str = ""
+    wanted: str | None = None
+
+    @property
+    def is_active(self) -> bool:
+        return bool(self.text_part) or self.wanted is not None
+
+    def next_status(self) -> Narrowing:
+        return replace(self, wanted=next_status_filter(self.wanted))
+
+    def clear(self) -> Narrowing:
+        return Narrowing()
+
+    def of(self, files: DataFrame) -> DataFrame:
+        return filtered(files, self.text_part, self.wanted)
+
+
 def by_path(files: DataFrame) -> DataFrame:
     """Sorted by path components: a/b stands before a-b."""
     return files.orderBy(F.split("path", "/"))

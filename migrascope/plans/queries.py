@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, status, text
 from ..functions.paths import Matcher, WatchFilter
 from ..operators import extract, registry, sinks, stats, store
+from ..schema import SCAN_ERRORS
 from ..streaming import live
 from . import synthetic
 from .synthetic import DECOY, HEAD, MODULE, STATEMENT, table
@@ -386,6 +387,87 @@ def scan_progress(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(status.scan_progress(F.count_if(F.col("value") > 50), F.count("*")).alias("percent"))
 
 
+# ---------------------------------------------------------------- predicates and rules on their own
+@_query(f"WITH {IMPORTS} SELECT kind, count(*) AS n, kind <> 'side_effect' AS with_bindings, kind = 'dynamic' AS dynamic, kind = 'type_only' AS type_only FROM imp GROUP BY kind")
+def import_predicates(spark, sf_dir):
+    k = F.col("kind")
+    d = extract.flat_imports(_files(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
+    return d.select("kind", "n", status.has_bindings(k).alias("with_bindings"), status.is_dynamic(k).alias("dynamic"), status.is_type_only(k).alias("type_only"))
+
+
+@_query("SELECT count(*) AS classes, count(*) AS interfaces, count(*) FILTER (WHERE p_partkey % 5 = 0) AS reexports FROM part")
+def export_predicates(spark, sf_dir):
+    d = extract.parse(synthetic.model_files(spark, sf_dir), imports=False, exports=True)
+    k = F.col("kind")
+    of = {"classes": status.is_class(k), "interfaces": status.is_interface(k), "reexports": status.is_reexport(k)}
+    return d.select(F.explode("exports").alias("e")).select("e.kind").agg(*[F.count_if(c).alias(n) for n, c in of.items()])
+
+
+@_query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Model' WHEN 1 THEN '' WHEN 2 THEN 'CodeGen' WHEN 3 THEN 'CodeGenForApi' WHEN 4 THEN 'CodeGenForm' ELSE 'CodeGenFormArray' END AS suffix, p_partkey % 6 >= 2 AS is_codegen FROM part")
+def category_suffixes(spark, sf_dir):
+    forms = ("interface", "model", "code_gen", "code_gen_for_api", "code_gen_form", "code_gen_form_array")
+    c = F.element_at(F.array(*map(F.lit, forms)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", status.category_suffix(c).alias("suffix"), status.is_codegen(c).alias("is_codegen"))
+
+
+@_query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'walk' WHEN 1 THEN 'read' WHEN 2 THEN 'parse' WHEN 3 THEN 'config' WHEN 4 THEN 'non_utf8_path' ELSE 'registry' END AS error_kind, p_partkey % 6 IN (1, 2) AS recoverable, p_partkey % 6 NOT IN (1, 2) AS fatal FROM part")
+def error_kinds(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, SCAN_ERRORS)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", kind.alias("error_kind"), status.is_recoverable(kind).alias("recoverable"), (~status.is_recoverable(kind)).alias("fatal"))
+
+
+@_query(f"WITH {EVENTS} SELECT event_id, regexp_extract(path, '[^/]+$') AS file_name, regexp_extract(path, '\\.([^.]+)$', 1) AS extension, NOT ends_with(path, '.js') AS typescript FROM ev")
+def event_names(spark, sf_dir):
+    p = F.col("path")
+    return synthetic.event_paths(spark, sf_dir).select("event_id", paths.file_name(p).alias("file_name"), paths.extension(p).alias("extension"), paths.is_typescript(p).alias("typescript"))
+
+
+@_query(f"WITH {EVENTS} SELECT event_id, path FROM ev WHERE (ends_with(path, '.ts') OR ends_with(path, '.tsx')) AND NOT ends_with(path, '.d.ts') AND NOT contains(path, '.spec.') AND NOT contains(path, 'u-1')")
+def accepted_events(spark, sf_dir):
+    return live.accepted(synthetic.event_paths(spark, sf_dir), extra=~F.contains("path", F.lit("u-1"))).select("event_id", "path")
+
+
+@_query("SELECT count(*) AS n, count(DISTINCT url) AS distinct_ids, 0::BIGINT AS missing FROM pages")
+def file_id(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(text.file_id(F.col("url")).alias("id")).agg(F.count("*").alias("n"), F.count_distinct("id").alias("distinct_ids"), F.count_if(F.col("id").isNull()).alias("missing"))
+
+
+@_query("SELECT count(*) AS n, count(DISTINCT epoch(now())::BIGINT) AS instants, bool_and(epoch(now())::BIGINT BETWEEN 1500000000 AND 9999999999) AS in_seconds FROM part")
+def scanned_at(spark, sf_dir):
+    d = table(spark, sf_dir, "part").select(text.scanned_at().alias("at"))
+    return d.agg(F.count("*").alias("n"), F.count_distinct("at").alias("instants"), F.bool_and(F.col("at").between(1500000000, 9999999999)).alias("in_seconds"))
+
+
+@_query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'ActiveOrder' ELSE 'interfaces' END AS name FROM supplier WHERE s_suppkey % 4 IN (0, 1)")
+def registry_guard(spark, sf_dir):
+    """A model with a name, a file of interfaces, a file that exports nothing, a file whose name gives none."""
+    s = F.col("s_suppkey")
+    stem = F.element_at(F.array(*map(F.lit, ("active-order.ts", "interfaces.ts", "active-order.ts", "-.ts"))), (s % 4 + 1).cast("int"))
+    code = F.when(s % 4 == 2, "class Hidden {}").otherwise("export class Shown {}").cast("binary")
+    files = table(spark, sf_dir, "supplier").select(F.concat(s.cast("string"), F.lit("/"), stem).alias("path"), code.alias("content"), F.lit("shared_legacy").alias("source"), s.alias("seq"))
+    return registry.models(files).select(F.col("seq").alias("s_suppkey"), "name")
+
+
+@_query("SELECT DISTINCT CASE WHEN s_nationkey % 2 = 0 THEN 'shared_legacy' ELSE 'shared2023' END AS source, 'E' || (s_suppkey % 7) AS export_name FROM supplier")
+def registry_exports_added(spark, sf_dir):
+    """Later registrations of a name replace its definition; the exports of earlier ones stay known."""
+    s = F.when(F.col("s_nationkey") % 2 == 0, "shared_legacy").otherwise("shared2023")
+    name = F.concat(F.lit("M"), F.col("s_nationkey"))
+    rows = table(spark, sf_dir, "supplier").select(name.alias("name"), s.alias("source"), F.array(F.concat(F.lit("E"), F.col("s_suppkey") % 7)).alias("exports"))
+    return registry.exports(rows)
+
+
+@_query(f"WITH {IMPORTS} SELECT file AS path, source, module AS import_path, kind, CASE kind WHEN 'named' THEN 2 WHEN 'side_effect' THEN 0 WHEN 'dynamic' THEN 0 ELSE 1 END::BIGINT AS names FROM imp WHERE source IS NOT NULL")
+def import_name_counts(spark, sf_dir):
+    return extract.name_counts(_files(spark, sf_dir)).select("path", "source", paths.strip_quotes(F.col("import_path")).alias("import_path"), "kind", "names")
+
+
+@_query(f"WITH {FLAGS}, {COUNTS}, lines AS (SELECT unnest([(1, 'Total files scanned: ' || total), (2, '  Legacy:           ' || legacy || ' (need migration)'), (3, '  Partial:          ' || partial || ' (in progress)'), (4, '  Migrated:         ' || migrated || ' (complete)'), (5, '  No models:        ' || no_models || ' (no action needed)'), (6, '  Errors:           ' || errors), (7, 'Migration progress: ' || printf('%.1f', coalesce(100.0 * migrated / nullif(legacy + migrated + partial, 0), 100.0)) || '%'), (8, 'Files needing work: ' || (legacy + partial))]) AS r FROM counts) SELECT r[1]::BIGINT AS place, r[2] AS line FROM lines")
+def text_summary(spark, sf_dir):
+    lines = [x for x in sinks.summary(stats.scan_stats(_files(spark, sf_dir))).split("\n")[3:] if x]
+    return spark.createDataFrame(list(enumerate(lines, 1)), "place bigint, line string")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

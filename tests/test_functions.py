@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from migrascope.config import Config, ScanConfig
 from migrascope.functions import paths, status, text
 from migrascope.functions.paths import Matcher, WatchFilter
-from migrascope.operators.extract import next_status_filter
+from migrascope.operators.extract import Narrowing, next_status_filter
 
 
 def each(spark, values, f, kind="string"):
@@ -81,3 +81,11 @@ def test_config():
     assert c.scan.shared_dir == "custom_shared" and c.scan.shared_2023_dir == "shared_2023" and c.watch.debounce_ms == 100
     assert Config.from_json(c.to_json()) == c
     assert Matcher.of(ScanConfig(shared_dir="/x/app/old", shared_2023_dir="/x/app/new/")) == Matcher("old", "new", "models")
+
+
+def test_narrowing(spark):
+    none = Narrowing()
+    both = Narrowing("b/").next_status()
+    assert not none.is_active and both.is_active and both.wanted == "legacy" and both.clear() == none and Narrowing("x").is_active
+    files = spark.createDataFrame([("a/B/c.ts", "legacy"), ("a/b/d.ts", "partial"), ("e.ts", "legacy")], "path string, status string")
+    assert [r.path for r in both.of(files).collect()] == ["a/B/c.ts"] and none.of(files).count() == 3
