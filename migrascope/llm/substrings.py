@@ -8,11 +8,12 @@ of the batch with a smaller doc_id, is a repeat.  The batch then becomes a
 run of its own, and once there are too many runs they are compacted to one.
 
 A fingerprint is a 40-bit key, on which runs are sorted and joined, and a
-32-bit check from an independent hash, by which every hit of the join is
-verified before it counts.
+48-bit check, by which every hit of the join is verified before it counts.
+Both roll over hashes of the words of their own, 64 bits each, so words that
+agree in one don't in the other.
 
 Rows are packed column blocks, not one row per window: keys as deltas in byte
-planes, so a window takes about 10 bytes in the shuffle and 6 in a run.
+planes, so a window takes about 12 bytes in the shuffle and 8 in a run.
 
 Defined cases: null text has no words; rows without doc_id are neither
 earlier nor later than others and lose nothing; rows that share a doc_id are
@@ -23,9 +24,11 @@ table gives an empty result; extra columns play no part.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +50,7 @@ BUCKET_PARTS = 8
 SPLIT = 2_000_000
 #: Words whose hash a worker remembers.
 REMEMBER = 300_000
-KEY_BITS, CHECK_BITS = 40, 32
+KEY_BITS, CHECK_BITS = 40, 48
 #: Odd multipliers of the two rolling hashes and of the final mix.
 ROLL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -85,19 +88,33 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
+    """Numbers of words, and two independent hashes of each by that number."""
+
+    def __init__(self):
+        self.hashes = (array("Q"), array("Q"))
+
     def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_128_intdigest(word)
+        self.hashes[0].append(h >> 64)
+        self.hashes[1].append(h & 0xFFFFFFFFFFFFFFFF)
+        n = self[word] = len(self)
+        return n
+
+    def of(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Both hashes of all words of some texts, one after the other."""
         if len(self) >= REMEMBER:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+            self.hashes = (array("Q"), array("Q"))
+        n = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64)
+        return tuple(np.array(h, np.uint64)[n] for h in self.hashes)
 
 
-def rolled(hashes: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Key and check of each window of ``size`` word hashes."""
-    n = max(0, len(hashes) - size + 1)
+def rolled(hashes: tuple[np.ndarray, np.ndarray], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Key and check of each window of ``size`` words, by the two hashes of each word."""
+    n = max(0, len(hashes[0]) - size + 1)
     out = []
-    for r, salt in zip(ROLL, (0, 0x165667B19E3779F9), strict=True):
-        a = _mixed(hashes ^ np.uint64(salt))
+    for r, own in zip(ROLL, hashes, strict=True):
+        a = _mixed(own)
         h = a[:n].copy()
         for j in range(1, size):
             h = h * np.uint64(r) + a[j : j + n]
@@ -151,17 +168,14 @@ def _packer(parts: int):
 
         def split(docs: list[tuple[int, int, bytes]]) -> int:
             """Adds the windows of some documents; their number."""
-            lens, flat = [], []
-            for _, _, t in docs:
-                w = t.split()
-                lens.append(len(w))
-                flat.extend(map(words_of.__getitem__, w))
-            n = np.array(lens, np.int64)
-            key, chk = rolled(np.array(flat, np.uint64))
+            texts = [t.split() for _, _, t in docs]
+            n = np.array([len(t) for t in texts], np.int64)
+            hashes = words_of.of(texts)
+            key, chk = rolled(hashes)
             doc = np.repeat(np.arange(len(docs), dtype=np.int32), n)
-            pos = (np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            pos = (np.arange(len(hashes[0])) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
             ok = (pos + WINDOW <= np.repeat(n, n))[: len(key)]
-            for c, v in zip(cols, (key[ok], chk[ok].astype(np.uint32), doc[: len(key)][ok] + np.int32(len(ids)), pos[: len(key)][ok]), strict=True):
+            for c, v in zip(cols, (key[ok], chk[ok], doc[: len(key)][ok] + np.int32(len(ids)), pos[: len(key)][ok]), strict=True):
                 c.append(v)
             ids.extend(d for d, _, _ in docs)
             ths.extend(h for _, h, _ in docs)
@@ -268,7 +282,7 @@ def _merger(parts: int):
         rows = [r for r in every if r["kind"] == WINDOWS]
         if rows:
             key = np.concatenate([unpack_sorted(r["key"]) for r in rows])
-            chk = np.concatenate([unpack(r["chk"]).astype(np.uint32) for r in rows])
+            chk = np.concatenate([unpack(r["chk"]) for r in rows])
             pos = np.concatenate([unpack(r["pos"]).astype(np.int32) for r in rows])
             ids = [unpack(r["ids"]).view(np.int64) for r in rows]
             start = np.cumsum([0, *map(len, ids)])
@@ -281,7 +295,7 @@ def _merger(parts: int):
             new_key, new_chk = key[own], chk[own]
             held = np.zeros(len(own), bool)
             for r in (r for r in every if r["kind"] == RUN):
-                held |= _held(new_key, new_chk, unpack_sorted(r["key"]), unpack(r["chk"]).astype(np.uint32))
+                held |= _held(new_key, new_chk, unpack_sorted(r["key"]), unpack(r["chk"]))
             repeat |= np.repeat(held, np.diff(np.r_[own, len(key)]))
             out += _flag_rows(parts, rows[0]["rng"], doc[repeat], pos[repeat], id_of, th_of)
             out.append((rows[0]["rng"], None, None, None, None, None, pack_sorted(new_key[~held]), pack(new_chk[~held]), RUN))
@@ -294,7 +308,7 @@ def _compact(table: pa.Table) -> pa.Table:
     """One range of several runs as one run; no two runs hold the same fingerprint."""
     rows = table.to_pylist()
     key = np.concatenate([unpack_sorted(r["key"]) for r in rows])
-    chk = np.concatenate([unpack(r["chk"]).astype(np.uint32) for r in rows])
+    chk = np.concatenate([unpack(r["chk"]) for r in rows])
     order = _order(key, chk)
     return _table([(rows[0]["rng"], None, None, None, None, None, pack_sorted(key[order]), pack(chk[order]), RUN)])
 

@@ -241,6 +241,16 @@ def test_hits_are_verified_by_the_check():
     assert got.tolist() == [True, True, False, True, False]
 
 
+def test_words_of_equal_key_hash_differ_in_the_check():
+    same = np.arange(20, dtype=np.uint64)
+    other = same + np.uint64(100)
+    (key, chk), (key2, chk2) = substrings.rolled((same, same)), substrings.rolled((same, other))
+    assert len(key) == 8 and (key == key2).all() and (chk != chk2).all() and (key < 1 << substrings.KEY_BITS).all()
+    words = substrings._Words()
+    a, b = words.of([[b"x", b"y"], [b"x"]])
+    assert a[0] == a[2] != a[1] and b[0] == b[2] != b[1] and a[0] != b[0] and len(words.of([])[0]) == 0
+
+
 # ------------------------------------------------------------------ 5
 def luhn(s):
     return sum((int(c) if k % 2 == 0 else (int(c) * 2 - 9 if int(c) > 4 else int(c) * 2)) for k, c in enumerate(reversed(s))) % 10 == 0
