@@ -8,7 +8,7 @@ of the batch with a smaller doc_id, is a repeat.  The batch then becomes a
 run of its own, and once there are too many runs they are compacted to one.
 
 A fingerprint is a 40-bit key, on which runs are sorted and joined, and a
-48-bit check, by which every hit of the join is verified before it counts.
+44-bit check, by which every hit of the join is verified before it counts.
 Both roll over hashes of the words of their own, 64 bits each, so words that
 agree in one don't in the other.
 
@@ -50,7 +50,7 @@ BUCKET_PARTS = 8
 SPLIT = 2_000_000
 #: Words whose hash a worker remembers.
 REMEMBER = 300_000
-KEY_BITS, CHECK_BITS = 40, 48
+KEY_BITS, CHECK_BITS = 40, 44
 #: Odd multipliers of the two rolling hashes and of the final mix.
 ROLL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
